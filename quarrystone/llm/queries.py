@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import boilerplate, lookalike, mixing, neighbours, pieces, readability, sentences, terms, tokens
+from quarrystone.llm import boilerplate, lookalike, mixing, names, neighbours, pieces, readability, sentences, terms, tokens
 from quarrystone.runtime import table
 
 
@@ -47,6 +47,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return marked.where("is_boilerplate").select("place", "doc_id", "item_no")
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    entities, relations = table(spark, d, "entities"), table(spark, d, "relations")
+    return names.link_names([entities.select("name"), relations.select("source"), relations.select("target")])
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_pairs(p5_groups(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "corpus"))
 
@@ -87,8 +96,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
-        p1_found, p1_consistent, p2_found, p2_terms, p3_found, p3_neighbours, p4_found, p4_main_text, p6_found,
-        p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found, p10_levels,
+        p1_found, p1_consistent, p2_found, p2_terms, p3_found, p3_neighbours, p4_found, p4_main_text, p5_found, p5_groups,
+        p6_found, p7_found, p7_pieces, p8_ids, p9_mix, p9_shares, p10_found, p10_levels,
     ]
     return {f.__name__: f for f in every}
 
