@@ -94,13 +94,13 @@ def prefix_offsets(
     sums = df.groupBy(group, bucket).agg(F.sum(amount).alias("_sum"))
     over = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(
-        F.col(group).alias("_g"), F.col(bucket).alias("_b"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before")
+        F.col(group).alias("_pf_group"), F.col(bucket).alias("_pf_bucket"), F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_pf_before")
     )
     inner = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.withColumn("_in", F.sum(amount).over(inner)).join(
-        before, (F.col(group) == F.col("_g")) & (F.col(bucket) == F.col("_b")), "inner"
+    joined = df.withColumn("_pf_in", F.sum(amount).over(inner)).join(
+        before, (F.col(group) == F.col("_pf_group")) & (F.col(bucket) == F.col("_pf_bucket")), "inner"
     )
-    return joined.withColumn(out, F.col("_before") + F.col("_in")).drop("_g", "_b", "_before", "_in")
+    return joined.withColumn(out, F.col("_pf_before") + F.col("_pf_in")).drop("_pf_group", "_pf_bucket", "_pf_before", "_pf_in")
 
 
 def local_path_exists(path: str) -> bool:
