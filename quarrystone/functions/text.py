@@ -116,3 +116,25 @@ def retry_delay(message: Column) -> Column:
     return F.regexp_extract(
         message, "(?i)retry in ([0-9]+(?:\\.[0-9]+)?)\\s*s", 1
     ).try_cast("double")
+
+
+#: A mark that no text holds, between sentences while they are told apart.
+_CUT = "\u0001"
+
+
+def sentence_marks(x: Column) -> Column:
+    """A text with a mark for the white space after each sentence."""
+    opener = "(^|[\\s(\\[\"'“‘«])"
+    listed = "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS)
+    out = F.regexp_replace(F.replace(x, F.lit(_CUT), F.lit(" ")), "([.!?][\"'”’»)\\]]*)\\s+", f"$1{_CUT}")
+    out = F.regexp_replace(out, f"(?i){opener}({listed})\\.{_CUT}", "$1$2. ")
+    for _ in range(2):  # initials may follow each other
+        out = F.regexp_replace(out, f"{opener}(\\p{{Lu}})\\.{_CUT}(\\p{{Lu}})", "$1$2. $3")
+    out = F.regexp_replace(out, f"([0-9])\\.{_CUT}(\\p{{Ll}})", "$1. $2")
+    return F.regexp_replace(out, f"\\.\\.{_CUT}", ".. ")
+
+
+def split_sentences(x: Column, least_words: int = 3) -> Column:
+    """The sentences of a text in order; those of fewer than ``least_words`` words are left out. Null gives null."""
+    parts = F.transform(F.split(sentence_marks(x), _CUT, -1), strip)
+    return F.filter(parts, lambda s: F.regexp_count(s, F.lit(WORD)) >= least_words)

@@ -11,8 +11,35 @@ PDF_CORPUS_VERSION = "v4-pdf-header-columns"
 INDEX_VERSION = "v2"
 
 
+_ATOMS = {
+    "STRING": T.StringType(), "BIGINT": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "FLOAT": T.FloatType(),
+    "BOOLEAN": T.BooleanType(),
+}
+
+
+def _split(text: str) -> list[str]:
+    """At commas outside angle brackets."""
+    parts, depth, at = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 0:
+            parts.append(text[at:i])
+            at = i + 1
+    return [p.strip() for p in [*parts, text[at:]] if p.strip()]
+
+
+def _type(text: str) -> T.DataType:
+    text = text.strip()
+    if text.startswith("ARRAY<"):
+        return T.ArrayType(_type(text[6:-1]))
+    if text.startswith("STRUCT<"):
+        return T.StructType([T.StructField(n.strip(), _type(t)) for n, _, t in (f.partition(":") for f in _split(text[7:-1]))])
+    return _ATOMS[text]
+
+
 def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from its DDL, without a session."""
+    return T.StructType([T.StructField(n, _type(t)) for n, _, t in (f.partition(" ") for f in _split(text))])
 
 
 _BLOCK = """type STRING, text STRING, source_name STRING, source_url STRING, page INT, heading_path ARRAY<STRING>,
