@@ -31,7 +31,8 @@ def pdf_words(blocks: DataFrame) -> DataFrame:
     file = F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))
     line = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("pos"))
     flat = F.trim(F.regexp_replace("text", SPACE, " "))
-    each = blocks.where(F.length(flat) > 0).select(file.alias("file"), "page", line.alias("line"), F.posexplode(F.split(flat, " ")).alias("i", "text"))
+    numbered = blocks.where(F.length(flat) > 0).withColumn("line", line)  # before the words are told apart
+    each = numbered.select(file.alias("file"), "page", "line", F.posexplode(F.split(flat, " ")).alias("i", "text"))
     x = F.col("i") * WORD_WIDTH
     return each.select(
         "file", "page", (F.col("line") * 100_000 + F.col("i")).cast("int").alias("word_no"), "text", x.cast("double").alias("x0"),
