@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +16,23 @@ from pyspark.sql import types as T
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the session's executors this package, once, so that they need no installation."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarrystone_shipped", False):
+        return
+    here = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="quarrystone-")) / "quarrystone.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, Path("quarrystone") / f.relative_to(here))
+    sc.addPyFile(str(path))
+    sc._quarrystone_shipped = True
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory. Only columns selected later are read."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
