@@ -124,7 +124,7 @@ _CUT = "\u0001"
 
 def sentence_marks(x: Column) -> Column:
     """A text with a mark for the white space after each sentence."""
-    opener = "(^|[\\s(\\[\"'“‘«])"
+    opener = f"(^|[\\s{_CUT}(\\[\"'“‘«])"
     listed = "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS)
     out = F.regexp_replace(F.replace(x, F.lit(_CUT), F.lit(" ")), "([.!?][\"'”’»)\\]]*)\\s+", f"$1{_CUT}")
     out = F.regexp_replace(out, f"(?i){opener}({listed})\\.{_CUT}", "$1$2. ")

@@ -62,7 +62,7 @@ _SUFFIX = """concat_ws(', ', 'source ' || CASE WHEN trim(source_name) <> '' THEN
 def _marks(x: str) -> str:
     cut = "chr(1)"
     listed = "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS)
-    opener = "(^|[\\s(\\[\"''“‘«])"
+    opener = "(^|[\\s\\x01(\\[\"''“‘«])"
     out = f"regexp_replace(replace({x}, {cut}, ' '), '([.!?][\"''”’»)\\]]*)\\s+', '\\1' || {cut}, 'g')"
     out = f"regexp_replace({out}, '(?i){opener}({listed})\\.\\x01', '\\1\\2. ', 'g')"
     for _ in range(2):
