@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from quarrystone.runtime import cut, small_side, stored
 
 #: Cosine of two cores that are compared further.
-COSINE = 0.3
+COSINE = 0.4
+#: Letters by which the lengths of two cores of one entity may differ.
+LENGTHS = 3
 #: Similarity from which spellings are near-equal.
 NEAR = 0.9
 #: Average similarity from which groups are merged.
@@ -145,6 +147,8 @@ def read_name(name: str) -> tuple[str, str, str]:
     tokens = [re.sub(r"[\W_]+", "", t) for t in re.split(r"[\s,]+", s)]
     upper = {re.sub(r"\W+", "", t) for t in re.split(r"[\s,]+", name) if len(t) == 2 and t.isupper()}
     tokens = [t for t in tokens if t]
+    if not tokens:
+        return "other", s, ""
     kinds: list[str | None] = [business(t) for t in tokens]
     for i, t in enumerate(tokens):
         if kinds[i] is None and t == "es" and "ES" in upper:
@@ -216,23 +220,38 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def with_blocks(keys: DataFrame) -> DataFrame:
+    """Adds ``blocks``: keys that share none can't be alike. A person's is the first name; an initial is in the blocks of all
+    known first names it may stand for, and with the unknown ones that begin with it."""
+    known = F.array(*[F.lit(n) for n in sorted(NICKNAMES)])
+    initial = F.substring("second", 1, 1)
+    fitting = F.filter(known, lambda n: F.substring(n, 1, 1) == initial)
+    person = F.when(F.length("second") == 1, F.concat(fitting, F.array(initial))).when(
+        F.array_contains(known, F.col("second")), F.array("second")
+    ).otherwise(F.array(initial))
+    own = F.when(F.col("kind") == "person", person).otherwise(F.array("second"))
+    return keys.withColumn("blocks", F.transform(own, lambda x: F.concat_ws("|", "kind", x)))
+
+
 def similar_keys(keys: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """(a, b, sim), a < b: keys (key, block, kind, core, second, grams) whose checked similarity isn't 0."""
-    each = keys.select("key", "block", F.explode("grams").alias("gram"))
-    counts = keys.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    """(a, b, sim), a < b: keys (key, kind, core, second, grams) whose checked similarity isn't 0."""
+    each = keys.select("key", F.explode("grams").alias("gram"))
+    counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     total = keys.agg(F.count(F.lit(1)).cast("double")).scalar()
     weighted = each.join(small_side(counts), "gram").withColumn("w", F.log(F.lit(1.5) + total / F.col("df")))
     own = Window.partitionBy("key")
-    rest = own.orderBy(F.desc("w"), "gram").rowsBetween(1, Window.unboundedFollowing)
+    # this gram and the lighter ones, in one order for all keys: what they can add to a cosine is at most their norm
+    rest = own.orderBy(F.desc("w"), "gram").rowsBetween(0, Window.unboundedFollowing)
     weighted = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
-    # what the lighter grams can still add to a cosine is at most the norm of their part of the vector
-    weighted = stored(weighted.withColumn("left", F.sqrt(F.coalesce(F.sum(F.col("w") * F.col("w")).over(rest), F.lit(0.0))) + F.col("w")), "grams")
-    prefix = weighted.where((F.col("left") >= cosine)).select("block", "gram", "key", "w")
-    a, b = prefix.toDF("block", "gram", "a", "wa"), prefix.toDF("block", "gram", "b", "wb")
-    met = a.join(b, ["block", "gram"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"))
+    weighted = stored(weighted.withColumn("left", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))), "grams")
+    facts = with_blocks(keys).select("key", F.explode("blocks").alias("block"), F.length("core").alias("size"))
+    prefix = weighted.where(F.col("left") >= cosine - 1e-9).select("key", "gram").join(facts, "key")
+    prefix = prefix.select(F.xxhash64("block", "gram").alias("at"), "key", "size")
+    a, b = prefix.toDF("at", "a", "size_a"), prefix.toDF("at", "b", "size_b")
+    near = F.abs(F.col("size_a") - F.col("size_b")) <= LENGTHS
+    met = a.join(b, "at").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     vectors = weighted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
     side = keys.select("key", "kind", "core", "second").join(vectors, "key")
-    met = met.where(F.col("part") >= cosine / 4)
     pairs = met.join(side.toDF("a", "kind", "core_a", "second_a", "va"), "a").join(
         side.select("key", "core", "second", "v").toDF("b", "core_b", "second_b", "vb"), "b"
     )
@@ -302,10 +321,9 @@ def link_names(spellings: list[DataFrame]) -> DataFrame:
         _read_batches, "name string, n long, kind string, core string, second string, grams array<string>"
     )
     key = F.xxhash64("kind", "core", "second")
-    block = F.when(F.col("kind") == "person", F.substring("second", 1, 1)).otherwise(F.col("second"))
-    read = stored(read.withColumn("key", key).withColumn("block", F.concat_ws("|", "kind", block)), "names")
+    read = stored(read.withColumn("key", key), "names")
     keys = read.groupBy("key").agg(
-        *[F.first(c).alias(c) for c in ("block", "kind", "core", "second", "grams")], F.sum("n").alias("weight"), F.count(F.lit(1)).alias("size")
+        *[F.first(c).alias(c) for c in ("kind", "core", "second", "grams")], F.sum("n").alias("weight"), F.count(F.lit(1)).alias("size")
     )
     keys = stored(keys, "keys")
     edges = stored(similar_keys(keys), "links")
