@@ -32,15 +32,20 @@ GERMAN_OPENERS = set(
     """die der das den dem ein eine einen einem er sie es wir ich ihr man im in am auf bei mit nach vor für aus zu
     wenn als da dies diese dieser dieses hier dort nun dann aber und doch alle jede jeder""".split()
 )
-GERMAN = re.compile(r"\b(?:der|die|das|und|den|dem|nicht|ist|wird|von)\b")
+GERMAN = re.compile(r"\b(?:der|die|das|und|den|dem|nicht|ist|wird|von|ein|eine|er|sie)\b|[äöüß]", re.I)
 NOT_GERMAN = re.compile(r"\b(?:the|of|and|la|le|les|el|los|las|du|des|del)\b")
+#: What follows the number of a day or a quarter.
+AFTER_ORDINAL = re.compile(
+    r"(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal|Jahrhundert|Klasse|Auflage|Kapitel)\b"
+)
 #: What goes on after a quotation that ended with a mark of its own.
 GOES_ON = re.compile(r"(?:然后|就|便|的|と|は|が|を|に|の|も|や|ثم|بوضوح|लिखा|ने |कहा|और )")
 
 _OPEN = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "《": "》", "〈": "〉", "(": ")", "（": "）", "[": "]"}
 _CLOSE = "”’\"»«“)）」』》〉]"
 _MARK = ".!?…。！？؟।॥．"
-_CANDIDATE = re.compile(rf"[{_MARK}]+(?:[{re.escape(_CLOSE)}]|[  \n]?[»])*")
+_MARKS = re.compile(rf"[{_MARK}]+")
+_ONLY_CLOSE = "”’»）)」』》〉]"
 _THAI_SPACE = re.compile(r"(?<=[ก-๛”\"»?!.\d%])[  \t\n]+(?=\S)")
 _TOKEN_END = re.compile(r"[^\s(（“„«\"「『《]+$")
 _EMPTY_LINE = re.compile(r"\r?\n[^\S\n]*\r?\n\s*|\n[^\S\n]*\n\s*|[  ]")
@@ -147,6 +152,8 @@ def _closing(unit: str, start: int, mark_at: int, end: int, following: int, germ
         return score - 8.0
     if re.fullmatch(r"[^\W\d_](?:\.[^\W\d_])+", bare):
         return score + 2.0
+    if bare.isdigit() and len(bare) <= 2 and AFTER_ORDINAL.match(unit, following):
+        return score - 8.0
     if bare.isdigit() and len(bare) <= 2 and german and nxt[:1].isupper():
         word = re.match(r"\w+", nxt)[0].lower()
         return score + 3.0 if word in GERMAN_OPENERS else score - 8.0
@@ -174,13 +181,19 @@ def _thai_space(unit: str, at: int, following: int) -> float:
     return 3.0
 
 
-def _candidates(unit: str, german: bool) -> list[tuple[int, int, int]]:
+def _candidates(unit: str, depth: list[int]) -> list[tuple[int, int, int]]:
     """(end, following, mark): a sentence may end before ``end``, the next one begin at ``following``; mark is where its
-    mark stands, -1 for a Thai space."""
+    mark stands, -1 for a Thai space. Quotes and brackets that close belong to the sentence before them."""
     out = []
     n = len(unit)
-    for m in _CANDIDATE.finditer(unit):
+    for m in _MARKS.finditer(unit):
         e = m.end()
+        while e < n:
+            gap = e + (unit[e] in "  \n\u202f" and e + 1 < n and unit[e + 1] == "»")
+            if depth[gap + 1] < depth[gap] or (unit[gap] in _ONLY_CLOSE and depth[gap + 1] <= depth[gap]):
+                e = gap + 1
+            else:
+                break
         if m[0] == "." and _THAI.match(unit[m.start() - 1 : m.start()]):
             continue  # an abbreviation; the space after it is a candidate
         f = e
@@ -190,7 +203,7 @@ def _candidates(unit: str, german: bool) -> list[tuple[int, int, int]]:
             continue
         if f == e:
             prev, nxt = unit[m.start() - 1] if m.start() else "", unit[e]
-            wide = any(c in "。！？．" for c in m[0]) or _WIDE.match(nxt) is not None
+            wide = any(c in "。！？．" for c in unit[m.start() : e]) or _WIDE.match(nxt) is not None
             word = re.search(r"[^\W\d_]{2,}$", unit[max(0, m.start() - 20) : m.start()])
             joined = (word is not None or prev in _CLOSE) and (nxt.isupper() or nxt in "“„«¿¡") and not re.match(r"\w+\.\w", unit[e:])
             if not (wide or joined):
@@ -209,10 +222,10 @@ def divide(unit: str) -> list[tuple[int, int]]:
     if lead >= n:
         return []
     german = len(GERMAN.findall(unit)) > len(NOT_GERMAN.findall(unit))
-    cuts = [c for c in _candidates(unit, german) if c[0] > lead]
+    depth, openers = _depths(unit)
+    cuts = [c for c in _candidates(unit, depth) if c[0] > lead]
     if not cuts:
         return [(lead, n)]
-    depth, openers = _depths(unit)
     starts = [lead, *[c[1] for c in cuts]]
     ends = [*cuts, (n, n, None)]
     best = [0.0] + [-1e18] * len(ends)
