@@ -20,7 +20,7 @@ def html_pages(blocks: DataFrame) -> DataFrame:
     cells = lambda tag, row: tagged("tr", F.array_join(F.transform(row, lambda c: tagged(tag, _escaped(F.coalesce(c, F.lit(""))))), ""))
     table = tagged("table", F.concat(cells("th", F.col("headers")), F.array_join(F.transform("rows", lambda r: cells("td", r)), "")))
     text = _escaped(F.coalesce("text", F.lit("")))
-    part = F.when(F.col("type") == "table", table).when(F.col("type") == "heading", tagged("h2", text)).otherwise(tagged("p", text))
+    part = F.when(F.col("type") == "table", table).when(F.col("type") == "heading", tagged("h1", text)).otherwise(tagged("p", text))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", part.alias("h")))), lambda x: x["h"]), "\n")
     page = blocks.groupBy("doc_id").agg(F.min("source_url").alias("url"), ordered.alias("body"))
     return page.select(F.col("doc_id").alias("page_id"), "url", F.concat(F.lit("<html><body><main>"), "body", F.lit("</main></body></html>")).alias("html"))
@@ -46,12 +46,14 @@ def pdf_tables(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     base = blocks.select(file.alias("file"), "page", F.concat(F.array("headers"), "rows").alias("grid"), F.size("headers").alias("w"))
     rows = base.select("file", "page", F.posexplode("grid").alias("y", "row"))
     cells = rows.select("file", "page", "y", F.posexplode("row").alias("x", "cell"))
-    each = cells.select("file", "page", "y", "x", F.posexplode(F.split(F.trim(F.regexp_replace(F.coalesce("cell", F.lit("")), SPACE, " ")), " ")).alias("i", "text")).where("text <> ''")
-    left = F.col("x") * COLUMN_WIDTH + 2 + F.col("i") * WORD_WIDTH
+    parts = F.split(F.trim(F.regexp_replace(F.coalesce("cell", F.lit("")), SPACE, " ")), " ")
+    cells = cells.withColumn("parts", parts).withColumn("step", F.least(F.lit(WORD_WIDTH), F.lit(COLUMN_WIDTH - 10) / F.size("parts")))
+    each = cells.select("file", "page", "y", "x", "step", F.posexplode("parts").alias("i", "text")).where("text <> ''")
+    left = F.col("x") * COLUMN_WIDTH + 2 + F.col("i") * F.col("step")
     top = F.col("y") * LINE_HEIGHT + 202.0
     words = each.select(
         "file", "page", (F.col("y") * 1_000_000 + F.col("x") * 1000 + F.col("i")).cast("int").alias("word_no"), "text", left.cast("double").alias("x0"),
-        top.alias("top"), (left + WORD_WIDTH - 1).cast("double").alias("x1"), (top + 8.0).alias("bottom"), F.lit(True).alias("upright"),
+        top.alias("top"), (left + F.col("step") * 0.8).cast("double").alias("x1"), (top + 8.0).alias("bottom"), F.lit(True).alias("upright"),
     )
     box = lambda x, y: F.array(x * COLUMN_WIDTH, y * LINE_HEIGHT + 200.0, (x + 1) * COLUMN_WIDTH, (y + 1) * LINE_HEIGHT + 200.0)
     grid = F.transform(F.sequence(F.lit(0), F.size("grid") - 1), lambda y: F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda x: box(x, y)))

@@ -156,6 +156,20 @@ def oracle_sql() -> dict[str, str]:
         "subchunk_labels": f"""SELECT id, '[chunk ' || parent_id || ', subchunk ' || id || CASE WHEN {_SUFFIX} <> '' THEN ', ' || {_SUFFIX} ELSE '' END || ']' || chr(10)
             || coalesce(CASE WHEN trim(source_text) <> '' THEN source_text END, text) AS entry
             FROM (SELECT DISTINCT id, parent_id, text, source_text, source_name, page, table_id, row_start, row_end FROM subchunks)""",
+        "block_errors": f"""SELECT doc_id, pos, CASE WHEN e IS NOT NULL THEN 'Block ' || pos || ': ' || e END AS error FROM (SELECT *, CASE
+            WHEN trim(coalesce(type, '')) = '' THEN 'requires a non-empty string type' WHEN source_name IS NULL THEN 'requires a string source_name'
+            WHEN page < 1 THEN 'page must be a positive integer or null' WHEN len(list_filter(heading_path, lambda h: h IS NULL)) > 0 THEN 'heading_path must be a string list'
+            WHEN type = 'table' AND trim(coalesce(table_id, '')) = '' THEN 'table requires a non-empty table_id'
+            WHEN type = 'table' AND (headers IS NULL OR len(headers) = 0 OR len(list_filter(headers, lambda h: trim(coalesce(h, '')) = '')) > 0) THEN 'table headers must be non-empty strings'
+            WHEN type = 'table' AND rows IS NULL THEN 'table rows must be a list'
+            WHEN type = 'table' AND len(list_filter(rows, lambda r: len(r) <> len(headers))) > 0 THEN 'ragged'
+            WHEN type <> 'table' AND text IS NULL THEN 'non-table block requires string text' END AS e FROM {_ROOT})""",
+        "rebuilt_tables": f"""WITH t AS (SELECT doc_id, pos, list_transform(headers, lambda h: {clean('h')}) AS h, rows FROM {_ROOT} WHERE type = 'table'),
+            w AS (SELECT *, greatest(len(h), coalesce(list_max(list_transform(rows, lambda r: len(r))), 0)) AS w FROM t),
+            n AS (SELECT *, list_transform(range(1, w + 1), lambda i: CASE WHEN coalesce(h[i], '') = '' THEN 'Column ' || i ELSE h[i] END) AS n FROM w)
+            SELECT doc_id, pos, list_transform(range(1, w + 1), lambda i: CASE WHEN len(list_filter(n[1 : i], lambda k: {fold('k')} = {fold('n[i]')})) > 1
+              THEN n[i] || ' (' || len(list_filter(n[1 : i], lambda k: {fold('k')} = {fold('n[i]')})) || ')' ELSE n[i] END) AS headers,
+              len(list_filter(rows, lambda r: len(list_filter(r, lambda c: {clean('c')} <> '')) > 0)) AS n_rows FROM n""",
         "text_runs": runs,
         "word_chunks": chunk_windows,
         "numbered_chunks": f"SELECT doc_id, chunk_no, row_number() OVER (ORDER BY doc_id, chunk_no) - 1 AS id FROM ({chunk_windows})",
@@ -188,6 +202,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT chunk_id, count(*) AS n FROM (SELECT unnest(c) AS chunk_id FROM e WHERE len(c) >= 3) GROUP BY chunk_id""",
         "corpus_key": """WITH p AS (SELECT doc_id, arg_max(requested_url, loaded_at) AS u FROM web_pages GROUP BY doc_id)
             SELECT substr(sha256('[' || string_agg('"' || u || '"', ',' ORDER BY doc_id) || ']'), 1, 16) AS request_key FROM p""",
+        "pdf_tables": f"""WITH b AS (SELECT * FROM {_ROOT} WHERE page IS NOT NULL AND type = 'table' AND len(rows) > 0)
+            SELECT doc_id || '-' || pos || '-table.pdf' AS file, page, doc_id || '-' || pos || '-table.pdf-page-' || page || '-table-1' AS table_id, headers,
+              list_transform(rows, lambda r: list_transform(r, lambda c: CASE WHEN regexp_full_match({clean('c')}, '[0-9]{{1,3}}( [0-9]{{3}})+') THEN replace({clean('c')}, ' ', '') ELSE {clean('c')} END)) AS rows FROM b""",
+        "html_text": f"""WITH b AS (SELECT doc_id, pos, type, headers, rows, {clean('text')} AS t FROM {_ROOT} WHERE source_url IS NOT NULL),
+            k AS (SELECT *, (type = 'table' AND len(list_filter(rows, lambda r: len(list_filter(r, lambda c: trim(coalesce(c, '')) <> '')) > 0)) > 0) OR (type <> 'table' AND t <> '') AS kept FROM b),
+            l AS (SELECT *, max(CASE WHEN type = 'heading' AND t <> '' THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hp FROM k),
+            h AS (SELECT l.*, g.t AS top FROM l LEFT JOIN b g ON g.doc_id = l.doc_id AND g.pos = l.hp),
+            x AS (SELECT doc_id, pos, CASE WHEN type = 'table' THEN concat_ws(chr(10), top, array_to_string(list_filter(list_transform(rows, lambda r: {row_text('r', 'headers')}), lambda q: q <> ''), chr(10)))
+              WHEN type = 'heading' THEN t ELSE concat_ws(chr(10), top, t) END AS said FROM h WHERE kept)
+            SELECT doc_id AS page_id, string_agg(said, chr(10) ORDER BY pos) AS text FROM x GROUP BY doc_id""",
         "pdf_paragraphs": f"""WITH b AS (SELECT *, {clean('text')} AS t, row_number() OVER (PARTITION BY doc_id, page ORDER BY pos) AS i FROM {_ROOT}
             WHERE page IS NOT NULL AND type <> 'table' AND text IS NOT NULL)
             SELECT doc_id || '.pdf' AS file, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) - 1 AS pos, t AS text FROM b WHERE t <> ''""",

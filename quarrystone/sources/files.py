@@ -13,15 +13,10 @@ from quarrystone.schemas import BLOCK, VECTORS
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole files as UTF-8; a byte order mark is removed, bytes that aren't UTF-8 are replaced."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.decode(F.col("content"), "UTF-8") if _lenient(spark) else F.col("content").cast("string")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return files.select("path", F.regexp_replace(text, "^\\uFEFF", "").alias("text"))
 
 
-def _lenient(spark: SparkSession) -> bool:
-    """decode() replaces bad bytes where the session asks for it; a cast keeps them as they are."""
-    return spark.conf.get("spark.sql.legacy.codingErrorAction", "false") == "true"
-
-
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line; the files appear when the whole job has ended."""
     df.write.mode("overwrite").json(path)

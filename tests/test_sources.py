@@ -180,3 +180,18 @@ def test_incremental_index(spark, tmp_path):
 def test_rules_find_names():
     entities, relations = RuleExtractor().rules("Sherlock Holmes saw Doctor Watson. nobody else")
     assert [e["name"] for e in entities] == ["Sherlock Holmes", "Doctor Watson"] and relations[0]["source"] == "Sherlock Holmes"
+
+
+def test_text_and_block_files(spark, tmp_path):
+    from quarrystone.sources import files
+
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfab\xff c")
+    assert files.read_text(spark, str(tmp_path / "a.txt")).first().text == "ab� c"
+    (tmp_path / "b.json").write_text('[{"type": "paragraph", "text": "x", "source_name": "s", "heading_path": []}, {"type": "table", "table_id": "t", "source_name": "s", "headers": ["a", "b"], "rows": [["1"]]}]')
+    with pytest.raises(Exception, match="must have 2 cells"):
+        files.read_blocks(spark, str(tmp_path / "b.json")).collect()
+    vectors = spark.createDataFrame([(1, [1.0, 2.0])], "id int, vec array<double>")
+    files.write_vectors(vectors, str(tmp_path / "v"))
+    assert files.read_vectors(spark, str(tmp_path / "v")).first().vec == [1.0, 2.0]
+    files.write_json(vectors, str(tmp_path / "j"))
+    assert files.read_json(spark, str(tmp_path / "j"), vectors.schema).first().id == 1
