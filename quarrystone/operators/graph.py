@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from quarrystone.functions.text import casefold, keyword_tokens, lexical_terms
 from quarrystone.operators.chunking import number_globally
 from quarrystone.operators.vectors import mean_vectors, or_zero
-from quarrystone.runtime import cut, stored
+from quarrystone.runtime import cut, prefix_offsets, stored
 
 #: Rows of a block in all-pairs work.
 BLOCK_ROWS = 4096
+#: Rows that are put in order in one task when the core is chosen.
+CORE_ROWS = 20_000
 #: Terms on at most so many rows of a block are counted pair by pair, others as columns of a matrix.
 SPARSE_ROWS = 24
 
@@ -172,11 +174,20 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
 
 
 def core_chunks(ranks: DataFrame, beta: float = 0.2) -> DataFrame:
-    """(id, pagerank, core_no): the first ceil(beta · n), one at least, by rank; ties by id."""
+    """(id, pagerank, core_no): the first ceil(beta · n), one at least, by rank; ties by id.
+
+    The core grows with the graph, so it isn't taken by a limit, which would bring it together in one place: ranks are
+    split at quantiles, and places are counted up over these.
+    """
+    ranks = ranks.select("id", "pagerank", F.round("pagerank", 12).alias("_r"))
     n = ranks.count()
     m = max(1, math.ceil(round(beta * n, 9)))
-    best = ranks.withColumn("_r", F.round("pagerank", 12)).orderBy(F.desc("_r"), "id").limit(m)
-    return best.select("id", "pagerank", (F.row_number().over(Window.orderBy(F.desc("_r"), "id")) - 1).alias("core_no"))
+    parts = min(1000, n // CORE_ROWS)
+    bounds = ranks.agg(F.percentile_approx("_r", [i / (parts + 1) for i in range(1, parts + 1)], 10_000)).first()[0] if parts else []
+    above = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b > F.col("_r"))) if bounds else F.lit(0)
+    staged = ranks.withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long"), "_part": above, "_desc": -F.col("_r")})
+    placed = prefix_offsets(staged, "_all", ["_desc", "id"], "_one", "_part", "_place")
+    return placed.where(F.col("_place") <= m).select("id", "pagerank", (F.col("_place") - 1).cast("int").alias("core_no"))
 
 
 def mentions(extractions: DataFrame, core: DataFrame) -> DataFrame:

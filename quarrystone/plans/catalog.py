@@ -281,12 +281,13 @@ def _store(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 def relation_rank(spark: SparkSession, d: str) -> DataFrame:
     s, q = _store(spark, d), HashingEmbedder(DIMS).embed_query(QUESTION)
     seeds = stored(retrieval.entity_seeds(s["entity_vectors"], q), "seeds")
-    return retrieval.relation_ranking(s["relations"], s["relation_vectors"], s["entities"], seeds, q, 20)
+    ranked = retrieval.relation_ranking(s["relations"], s["relation_vectors"], s["entities"], seeds, q, 20)
+    return _long(ranked).withColumn("matched", F.col("matched").cast("long"))
 
 
 def two_channel_retrieve(spark: SparkSession, d: str) -> DataFrame:
     found, _ = retrieval.two_channel(_store(spark, d), HashingEmbedder(DIMS).embed_query(QUESTION), 10, 0.4)
-    return found
+    return _long(found)
 
 
 def two_channel_context(spark: SparkSession, d: str) -> DataFrame:

@@ -100,6 +100,25 @@ def _hashed(table: str, key: str) -> str:
     e AS MATERIALIZED (SELECT p.id, b, v / l AS v FROM p JOIN l ON p.id = l.id)"""
 
 
+def _retrieval(question: str, vocabulary: str) -> str:
+    """Scores of entities, relations, subchunks and keywords for the question, then seeds and ranked relations."""
+    fact = """coalesce(source, '') || ' --[' || coalesce(CASE WHEN trim(relation) <> '' THEN trim(relation) END, 'related to') || ']--> '
+        || coalesce(target, '') || CASE WHEN trim(coalesce(description, '')) <> '' THEN '. ' || trim(description) ELSE '' END"""
+    return f"""en AS MATERIALIZED (SELECT DISTINCT * FROM entities), re AS MATERIALIZED (SELECT DISTINCT * FROM relations),
+    su AS MATERIALIZED (SELECT DISTINCT id, parent_id, text FROM subchunks), vo AS MATERIALIZED (SELECT * FROM {vocabulary}),
+    d0 AS (SELECT entity_id, unnest(descriptions) AS d, generate_subscripts(descriptions, 1) AS i FROM en),
+    d1 AS (SELECT entity_id, d, min(i) AS i FROM d0 GROUP BY ALL), d2 AS (SELECT entity_id, string_agg(d, ' ' ORDER BY i) AS d FROM d1 GROUP BY entity_id),
+    src AS (SELECT 'e' || en.entity_id AS id, name || ': ' || coalesce(d2.d, '') AS text FROM en LEFT JOIN d2 ON en.entity_id = d2.entity_id
+      UNION ALL SELECT 'r' || relation_id, {fact} FROM re UNION ALL SELECT 's' || id, text FROM su UNION ALL SELECT 'k' || keyword_id, keyword FROM vo
+      UNION ALL SELECT 'q', '{question}'), {_hashed('src', 'id')},
+    q AS (SELECT b, v FROM e WHERE id = 'q'),
+    sc AS MATERIALIZED (SELECT src.id, round(coalesce(x.s, 0), 6) AS score FROM src LEFT JOIN (SELECT e.id, sum(e.v * q.v) AS s FROM e JOIN q ON e.b = q.b GROUP BY e.id) x ON x.id = src.id),
+    seeds AS MATERIALIZED (SELECT en.*, score FROM en JOIN sc ON sc.id = 'e' || entity_id ORDER BY score DESC, entity_id LIMIT 10),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY matched DESC, score DESC, relation_id) AS rank FROM
+      (SELECT re.*, (coalesce({fold('source')} IN (SELECT key FROM seeds), false))::BIGINT + (coalesce({fold('target')} IN (SELECT key FROM seeds), false))::BIGINT AS matched, score
+       FROM re JOIN sc ON sc.id = 'r' || relation_id) WHERE matched > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
     from quarrystone.plans.catalog import QUESTION
 
@@ -139,7 +158,20 @@ def oracle_sql() -> dict[str, str]:
     p AS (SELECT id, w, unnest(range(0, 4)) AS part FROM c),
     b AS (SELECT *, round_even(part * len(w) / 4.0, 0)::INT AS f, round_even((part + 1) * len(w) / 4.0, 0)::INT AS t FROM p)
     SELECT id AS parent_id, part, array_to_string(w[f + 1 : t], ' ') AS text FROM b WHERE t > f"""
+    channels = f"""
+    WITH {_retrieval(question, vocabulary)},
+    pa AS (SELECT chunk_id, count(*) AS n FROM (SELECT unnest(list_distinct(chunk_ids)) AS chunk_id FROM seeds UNION ALL SELECT chunk_id FROM ranked WHERE rank <= 12 AND chunk_id IS NOT NULL) GROUP BY chunk_id),
+    sk AS MATERIALIZED (SELECT su.id, score, row_number() OVER (ORDER BY n DESC, score DESC, su.id) AS rank FROM su JOIN pa ON pa.chunk_id = su.parent_id JOIN sc ON sc.id = 's' || su.id ORDER BY rank LIMIT 4),
+    po AS (SELECT keyword_id, keyword, row_number() OVER (ORDER BY score DESC, keyword_id) AS rank FROM vo JOIN sc ON sc.id = 'k' || keyword_id ORDER BY rank LIMIT 24),
+    ke AS (SELECT id, unnest(list_distinct({keyword_tokens('text')})) AS keyword FROM su),
+    fi AS MATERIALIZED (SELECT ke.id, min(rank) AS rank FROM ke JOIN po ON po.keyword = ke.keyword GROUP BY ke.id),
+    ne AS (SELECT rank, count(*) AS n FROM fi GROUP BY rank),
+    op AS (SELECT rank FROM (SELECT rank, coalesce(sum(n) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM ne) WHERE b < 12),
+    kw AS (SELECT fi.id, score, row_number() OVER (ORDER BY score DESC, fi.id) AS rank FROM fi JOIN sc ON sc.id = 's' || fi.id WHERE fi.rank IN (SELECT rank FROM op) AND fi.id NOT IN (SELECT id FROM sk) ORDER BY rank LIMIT 6)
+    SELECT id, 'skeleton' AS channel, rank, score FROM sk UNION ALL SELECT id, 'keyword', rank + 4, score FROM kw"""
     return {
+        "relation_rank": f"WITH {_retrieval(question, vocabulary)} SELECT relation_id, source, target, relation, description, chunk_id, matched, score, rank FROM ranked WHERE rank <= 20",
+        "two_channel_retrieve": channels,
         "clean_documents": f"SELECT doc_id, {clean('text')} AS text FROM documents",
         "tokenize_stats": f"SELECT doc_id, len({words('text')}) AS n_words, len(list_distinct({words('text')})) AS n_distinct FROM documents WHERE text IS NOT NULL",
         "keyword_token_counts": f"SELECT id, len({keyword_tokens('text')}) AS n_tokens FROM (SELECT DISTINCT id, text FROM subchunks) WHERE text IS NOT NULL",

@@ -72,6 +72,14 @@ def test_pagerank(spark):
     assert [c.id for c in core] == [0, 1]
 
 
+def test_core_over_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(G, "CORE_ROWS", 7)
+    rows = [(i, (i * 37 % 50) / 50) for i in range(60)]
+    got = G.core_chunks(spark.createDataFrame(rows, "id long, pagerank double"), 0.5).orderBy("core_no").collect()
+    want = [i for i, _ in sorted(rows, key=lambda r: (-round(r[1], 12), r[0]))[:30]]
+    assert [c.id for c in got] == want and [c.core_no for c in got] == list(range(30))
+
+
 def test_skeleton_merge(spark):
     rows = [
         (5, [("holmes ", "later"), ("", "x")], []),
