@@ -76,3 +76,29 @@ def test_labels(spark):
     df = spark.createDataFrame([(1, 7, "second", None, None, None, None, None, None, 1), (2, 7, "t", "source", "s.pdf", 4, "limits", 2, 2, 2)], schema)
     assert render.context(df, subchunk=True).first()[0] == "[chunk 7, subchunk 1]\nsecond\n\n[chunk 7, subchunk 2, source s.pdf, page 4, table limits, rows 2-2]\nsource"
     assert render.context(df.limit(0)).first()[0] == ""
+
+
+def test_stored_tables_can_be_released(spark):
+    from quarrystone import runtime
+
+    kept = runtime.stored(spark.range(5).toDF("id"), "five")
+    path = runtime._WRITTEN[-1]
+    assert kept.count() == 5 and runtime.local_path_exists(path)
+    runtime.release(spark)
+    assert not runtime.local_path_exists(path)
+
+
+def test_small_sides_are_checked(spark):
+    from quarrystone.runtime import small_side
+
+    big = spark.range(10**7).selectExpr("id", "cast(id as string) x").distinct()
+    assert "broadcast" in small_side(spark.range(5))._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in small_side(big, 1000)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_running_totals_over_buckets(spark):
+    from quarrystone.runtime import prefix_offsets
+
+    df = spark.createDataFrame([("a", i // 3, i, i) for i in range(10)] + [("b", 0, 0, 5)], "g string, b int, o int, n long")
+    got = {(r.g, r.o): r.t for r in prefix_offsets(df, "g", ["o"], "n", "b", "t").collect()}
+    assert all(got["a", i] == sum(range(i + 1)) for i in range(10)) and got["b", 0] == 5
