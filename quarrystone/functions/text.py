@@ -52,19 +52,15 @@ def casefold(x: Column) -> Column:
     return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
 
 
-def stop_list() -> Column:
-    return F.array(*[F.lit(w) for w in STOP_WORDS])
-
-
 def keyword_tokens(x: Column) -> Column:
     """Case-folded words without stop words, in order and with repeats."""
-    return F.filter(words(casefold(x)), lambda t: ~F.array_contains(stop_list(), t))
+    return F.filter(words(casefold(x)), lambda t: ~t.isin(STOP_WORDS))
 
 
 def lexical_terms(x: Column) -> Column:
     """Distinct lower-case terms of at least two characters, without stop words."""
     terms = F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0))
-    return F.filter(F.array_distinct(terms), lambda t: ~F.array_contains(stop_list(), t))
+    return F.filter(F.array_distinct(terms), lambda t: ~t.isin(STOP_WORDS))
 
 
 def gaps(x: Column) -> Column:

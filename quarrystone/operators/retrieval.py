@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.render import context, relation_text
 from quarrystone.functions.text import casefold
-from quarrystone.operators.vectors import cosine, ranked_by_query, rounded, top_k
+from quarrystone.operators.vectors import ranked_by_query, rounded, scored, top_k
 from quarrystone.runtime import stored
 
 ENTITY_SEEDS = 10
 
 
 def _scored(vectors: DataFrame, query: list[float], key: str = "id") -> DataFrame:
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select(F.col(key).alias("id"), rounded(cosine(F.col("vec"), q)).alias("score"))
+    named = vectors if key == "id" else vectors.withColumnRenamed(key, "id")
+    return scored(named, query).withColumn("score", rounded(F.col("score")))
 
 
 def text_retrieve(chunk_vectors: DataFrame, query: list[float], k: int = 6) -> DataFrame:

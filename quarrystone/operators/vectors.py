@@ -3,6 +3,8 @@ ranking, ties go to the smaller id."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,14 @@ def norm(v: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """Unit length; vectors shorter than 1e-12 are divided by that."""
-    length = F.greatest(norm(v), F.lit(TINY))
-    return F.transform(v.cast("array<double>"), lambda x: x / length)
+    parts = v.cast("array<double>")
+    # the length is bound once: written into the inner lambda it would be taken anew for every part
+    bound = F.array(F.greatest(norm(v), F.lit(TINY)))
+    return F.element_at(F.transform(bound, lambda n: F.transform(parts, lambda x: x / n)), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(normalise(a), normalise(b))
+    return dot(a, b) / (F.greatest(norm(a), F.lit(TINY)) * F.greatest(norm(b), F.lit(TINY)))
 
 
 def rounded(score: Column) -> Column:
@@ -52,8 +56,14 @@ def top_k_each(scored: DataFrame, group: str, k: int, score: str, key: str) -> D
 
 def ranked_by_query(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     """(id, score, rank): the k vectors most similar to one query vector."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return top_k(vectors.select("id", cosine(F.col("vec"), q).alias("score")), k)
+    return top_k(scored(vectors, query), k)
+
+
+def scored(vectors: DataFrame, query: list[float]) -> DataFrame:
+    """(id, score): the cosine of every vector with one query vector, whose length is taken here."""
+    length = max(math.sqrt(sum(float(x) ** 2 for x in query)), TINY)
+    q = F.array(*[F.lit(float(x) / length) for x in query])
+    return vectors.select("id", (dot(F.col("vec"), q) / F.greatest(norm(F.col("vec")), F.lit(TINY))).alias("score"))
 
 
 def mean_vectors(members: DataFrame, vectors: DataFrame, group: str, member: str, dims: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import render
-from quarrystone.functions.text import SPACE, STOP_WORDS, WORD, clean_text, keyword_tokens, lexical_terms, split_sentences, words
+from quarrystone.functions.text import clean_text, keyword_tokens, lexical_terms, split_sentences, words
 from quarrystone.operators import blocks as block_ops
 from quarrystone.operators import chunking, graph, retrieval, vectors
 from quarrystone.plans import fixtures
@@ -19,22 +19,6 @@ from quarrystone.sources import html, pdf, urls
 QUESTION = "Which homologation documentation covers the electrohydraulic suspension of the car?"
 DIMS = 64
 
-#: What DuckDB calls the same.
-_SQL_WORDS = "regexp_extract_all({x}, '" + WORD.replace("'", "''") + "')"
-_SQL_GAPS = "regexp_split_to_array({x}, '" + WORD.replace("'", "''") + "')"
-_SQL_STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
-_SQL_STRIP = "regexp_replace({x}, '^" + SPACE + "|" + SPACE + "$', '', 'g')"
-_BLOCKS = "(SELECT DISTINCT * FROM blocks)"
-_ROW_TEXT = """(CASE WHEN len(list_filter({row}, lambda v: trim(v) <> '')) = 0 THEN '' ELSE array_to_string(list_filter(
-    list_transform(range(1, least(len({row}), len({heads})) + 1), lambda i: CASE WHEN trim({row}[i]) <> '' THEN {heads}[i] || ' = ' || {clean} END),
-    lambda t: t IS NOT NULL), '; ') || '.' END)"""
-_CLEAN_CELL = "trim(regexp_replace({row}[i], '" + SPACE + "', ' ', 'g'))"
-
-
-def row_text_sql(row: str, heads: str = "headers") -> str:
-    return _ROW_TEXT.format(row=row, heads=heads, clean=_CLEAN_CELL.format(row=row))
-
-
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "blocks").dropDuplicates(["doc_id", "pos"])
 
@@ -272,9 +256,10 @@ def _store(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     facts = relations.select(F.col("relation_id").alias("id"), render.relation_text().alias("text"))
     names = entities.select(F.col("entity_id").alias("id"), render.entity_text().alias("text"))
     return {
-        "chunk_vectors": e.embed(_chunks(spark, d)), "subchunks": subchunks, "subchunk_vectors": e.embed(subchunks), "entities": entities,
+        "subchunks": stored(subchunks, "subchunks"), "subchunk_vectors": stored(e.embed(subchunks), "vectors"), "entities": entities,
         "entity_vectors": e.embed(names), "relations": relations, "relation_vectors": e.embed(facts),
-        "keywords": e.embed(vocabulary, "keyword_id", "keyword").withColumnRenamed("id", "keyword_id"), "keyword_edges": graph.keyword_edges(subchunks, vocabulary),
+        "keywords": e.embed(vocabulary, "keyword_id", "keyword").withColumnRenamed("id", "keyword_id"),
+        "keyword_edges": graph.keyword_edges(subchunks, vocabulary),
     }
 
 

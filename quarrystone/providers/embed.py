@@ -38,20 +38,25 @@ class HashingEmbedder(Embedder):
     def __init__(self, dims: int = 64):
         self.dims = dims
 
-    def vectors(self, texts: list[str | None], seen: dict[str, tuple[int, float]]) -> np.ndarray:
+    def _code(self, word: str) -> int:
+        """Twice the dimension, plus one for a negative sign."""
+        h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        return 2 * (h % self.dims) + (h // self.dims) % 2
+
+    def vectors(self, texts: list[str | None], seen: dict[str, int]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims))
         for row, text in enumerate(texts):
-            for w in _WORD.findall((text or "").lower()):
-                at = seen.get(w)
-                if at is None:
-                    h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
-                    at = seen[w] = (h % self.dims, 1.0 if (h // self.dims) % 2 == 0 else -1.0)
-                out[row, at[0]] += at[1]
+            words = _WORD.findall((text or "").lower())
+            for w in set(words).difference(seen):
+                seen[w] = self._code(w)
+            if words:
+                signed = np.bincount([seen[w] for w in words], minlength=2 * self.dims)
+                out[row] = signed[0::2] - signed[1::2]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     def embed(self, texts: DataFrame, key: str = "id", text: str = "text", task: str = "document") -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[str, tuple[int, float]] = {}
+            seen: dict[str, int] = {}
             for batch in batches:
                 if len(seen) > 500_000:
                     seen.clear()
