@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.render import block_text, filled, lines, path_text, rows_text, table_row_text
+from quarrystone.functions.render import block_text, filled, lines, path_text, table_row_text
 from quarrystone.functions.text import gaps, strip, words
 from quarrystone.runtime import prefix_offsets
 

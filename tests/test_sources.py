@@ -1,7 +1,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from quarrystone.config import Settings
 from quarrystone.plans.pipeline import Comparison, text_blocks
