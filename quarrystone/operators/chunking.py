@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions.render import block_text, filled, lines, path_text, table_row_text
 from quarrystone.functions.text import gaps, strip, words
-from quarrystone.runtime import prefix_offsets
+from quarrystone.runtime import prefix_offsets, stored
 
 SIZE, OVERLAP = 450, 60
 META = ["source_name", "source_url", "page", "heading_path"]
@@ -36,7 +36,8 @@ def word_chunks(df: DataFrame, keep: list[str], text: str = "text", size: int =
     check_window(size, overlap)
     t = F.col("_t")
     base = df.select(*keep, F.col(text).alias("_t"))
-    base = base.withColumn("_w", words(t)).withColumn("_g", gaps(t)).drop("_t").where(F.size("_w") > 0)
+    base = base.withColumn("_w", words(t)).withColumn("_g", gaps(t)).drop("_t")
+    # texts without words have no windows; a filter for them would be pushed down and look for words twice
     each = base.select(*keep, "_w", "_g", F.posexplode(window_starts(F.size("_w"), size, overlap)).alias("chunk_no", "_s"))
     own = F.slice("_w", F.col("_s") + 1, F.lit(size))
     said = F.zip_with(own, F.slice("_g", F.col("_s") + 2, F.size(own)), lambda w, g: F.concat(w, g))
@@ -95,24 +96,32 @@ def pack_rows(costs: Column, base: Column, size: int) -> Column:
     return F.aggregate(costs, start, put, lambda s: s["packs"])
 
 
-def column_groups(headers: Column, rows: Column, base: Column, size: int) -> Column:
+def cell_costs(headers: Column, rows: Column) -> Column:
+    """What every cell of a table costs in words, row by row."""
+
+    def cost(r: Column, c: Column) -> Column:
+        said = F.concat(F.get(headers, c), F.lit(" = "), F.get(r, c))
+        return F.when(F.trim(F.get(r, c)) != "", F.size(words(said))).otherwise(0)
+
+    columns = F.sequence(F.lit(0), F.size(headers) - 1)
+    return F.transform(rows, lambda r: F.transform(columns, lambda c: cost(r, c)))
+
+
+def column_groups(grid: Column, width: Column, base: Column, size: int) -> Column:
     """The columns of each group of a table too wide for ``size``: the first column leads every group.
 
-    Greedy from left to right: a group that has columns is closed when one more would make its costliest row exceed
-    ``size``. Null for tables that stay whole.
+    ``grid`` are the cell costs; it must be a column of its own, as it is looked into at every step. Greedy from left
+    to right: a group that has columns is closed when one more would make its costliest row exceed ``size``. Null
+    for tables that stay whole.
     """
-    cell = lambda r, c: F.when(F.trim(F.get(r, c)) != "", F.size(words(F.concat(F.get(headers, c), F.lit(" = "), F.get(r, c))))).otherwise(0)
-    width = F.size(headers)
-    columns = F.sequence(F.lit(0), width - 1)
-    # what every cell costs, row by row
-    grid = F.transform(rows, lambda r: F.transform(columns, lambda c: cell(r, c)))
-    too_wide = (width > 1) & (F.array_max(F.transform(grid, lambda g: F.aggregate(g, base.cast("int"), lambda a, x: a + x))) > size)
+    base = base.cast("int")
+    too_wide = (width > 1) & (F.array_max(F.transform(grid, lambda g: F.aggregate(g, base, lambda a, x: a + x))) > size)
     empty = F.array().cast("array<int>")
     start = F.struct(empty.alias("now"), F.array().cast("array<array<int>>").alias("done"))
 
     def put(s: Column, c: Column) -> Column:
         largest = F.array_max(
-            F.transform(grid, lambda g: base.cast("int") + F.get(g, F.lit(0)) + F.get(g, c) + F.aggregate(s["now"], F.lit(0), lambda a, i: a + F.get(g, i)))
+            F.transform(grid, lambda g: base + F.get(g, F.lit(0)) + F.get(g, c) + F.aggregate(s["now"], F.lit(0), lambda a, i: a + F.get(g, i)))
         )
         full = (F.size(s["now"]) > 0) & (largest > size)
         return F.struct(
@@ -130,7 +139,8 @@ def table_chunks(blocks: DataFrame, size: int = SIZE) -> DataFrame:
     tables = blocks.where((F.col("type") == "table") & (F.size("rows") > 0))
     prefix = lines(path_text(F.col("heading_path")), F.col("caption"))
     tables = tables.withColumn("table_prefix", prefix).withColumn("_base", F.size(words(F.col("table_prefix"))))
-    groups = column_groups(F.col("headers"), F.col("rows"), F.col("_base"), size)
+    tables = tables.withColumn("_grid", cell_costs(F.col("headers"), F.col("rows")))
+    groups = column_groups(F.col("_grid"), F.size("headers"), F.col("_base"), size)
     whole = F.array(F.sequence(F.lit(0), F.size("headers") - 1))
     split = tables.withColumn("_split", groups)
     split = split.select("*", F.posexplode(F.coalesce("_split", whole)).alias("_g", "_cols"))
@@ -168,7 +178,8 @@ def structured_chunks(blocks: DataFrame, size: int = SIZE, overlap: int = OVERLA
         "source_name": filled(F.col("source_name")), "source_url": filled(F.col("source_url")), "table_prefix": F.col("table_prefix"),
         "heading_path": F.when(F.size("heading_path") > 0, F.col("heading_path")),
     }
-    numbered = number_globally(every.withColumns(bare), ["doc_id", "run_pos", "_g", "chunk_no"])
+    # numbering reads its rows twice, so the work on texts is kept
+    numbered = number_globally(stored(every.withColumns(bare), "chunks"), ["doc_id", "run_pos", "_g", "chunk_no"])
     return numbered.select(
         "id", "doc_id", "text", "source_text", *META, "block_type", "table_id", "row_start", "row_end", "column_group", "table_prefix", "table_row_texts"
     )
@@ -203,7 +214,7 @@ def tau_subchunks(chunks: DataFrame, tau: int = 1, numbered: bool = True) -> Dat
     staged = chunks.withColumns({"_rows": by_rows, "_u": units, "_src": source})
     # the spans of the source text belong to the words only where these are the same words
     staged = staged.withColumn("_sw", words(F.col("_src"))).withColumn("_sg", gaps(F.col("_src")))
-    staged = staged.where(F.size("_u") > 0).select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("part"))
+    staged = staged.select("*", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("part"))
     bound = lambda p: F.bround(p.cast("double") * F.size("_u") / F.lit(float(pieces)), 0).cast("int")
     staged = staged.withColumns({"_from": bound(F.col("part")), "_to": bound(F.col("part") + 1)}).where("_to > _from")
     own = F.slice("_u", F.col("_from") + 1, F.col("_to") - F.col("_from"))
@@ -223,4 +234,4 @@ def tau_subchunks(chunks: DataFrame, tau: int = 1, numbered: bool = True) -> Dat
     out = staged.select(
         "parent_id", "part", "text", "source_text", *META, "block_type", "table_id", "row_start", "row_end", "column_group"
     )
-    return number_globally(out, ["parent_id", "part"]).select("id", *out.columns) if numbered else out
+    return number_globally(stored(out, "subchunks"), ["parent_id", "part"]).select("id", *out.columns) if numbered else out

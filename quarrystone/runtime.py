@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Stored size of tables that are spread over the session's slots if they lie in fewer files.
+SPREAD_BYTES = (1 << 20, 64 << 20)
 #: Paths written by ``stored`` and not released yet.
 _WRITTEN: list[str] = []
 #: Largest serialised size a side may have before it is joined by shuffle instead of by broadcast.
@@ -33,9 +35,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a data directory. Only columns selected later are read."""
+    """One of the Parquet tables of a data directory. Only columns selected later are read.
+
+    A small table in fewer files than the session has slots is spread over all of them, as the work on its texts
+    outweighs moving them; larger tables are read as they lie.
+    """
     ship(spark)
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    df = spark.read.parquet(f"{directory}/{name}.parquet")
+    if SPREAD_BYTES[0] <= plan_bytes(df) <= SPREAD_BYTES[1] and df.rdd.getNumPartitions() < slots(spark):
+        return df.repartition(slots(spark))
+    return df
 
 
 def shared_dir(spark: SparkSession) -> str:
