@@ -26,6 +26,10 @@ BLOCK_ROWS = 4096
 CORE_ROWS = 20_000
 #: Terms on at most so many rows of a block are counted pair by pair, others as columns of a matrix.
 SPARSE_ROWS = 24
+#: Texts that share a term found on more texts than this are counted in pairs of blocks.
+HEAVY_TEXTS = 200
+#: Rows of a block where a task gives out all pairs of two blocks.
+PAIR_ROWS = 1024
 
 
 def block_top(left: DataFrame, right: DataFrame, payload: str, score: Callable, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -108,17 +112,44 @@ def semantic_neighbours(vectors: DataFrame, k: int, queries: DataFrame | None =
     return block_top(vectors if queries is None else queries, vectors, "vec", _dot, k)
 
 
-def cooccurrence(texts: DataFrame, at_most: int = 200) -> DataFrame:
-    """(a, b, common), a < b: pairs that share a term found on at most ``at_most`` texts, with their number of such terms.
+def cooccurrence(texts: DataFrame, at_most: int | None = None) -> DataFrame:
+    """(a, b, common), a < b: all pairs of texts that share a term, with the number of terms they share.
 
-    The inverted-index join; terms on more texts, whose pairs would grow with the square of the table, belong to
-    ``lexical_neighbours``, which counts all terms.
+    Pairs of which one text has only terms found on at most ``HEAVY_TEXTS`` texts are counted by the inverted-index
+    join. Its size for terms on more texts would grow with the square of their number, so texts that hold such a term
+    meet in pairs of blocks, where all their terms are counted at once; each pair of texts is counted in one of the two
+    ways. The result itself may hold every pair of texts. ``at_most`` leaves out terms on more texts than that.
     """
     each = texts.select("id", F.explode(lexical_terms(F.col("text"))).alias("term"))
-    light = each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") > 1) & (F.col("df") <= at_most)).select("term")
-    kept = each.join(light, "term")
-    a, b = kept.toDF("term", "a"), kept.toDF("term", "b")
-    return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    counts = each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    if at_most is not None:
+        counts = counts.where(F.col("df") <= at_most)
+    kept = stored(each.join(counts, "term"), "terms")
+    rows = stored(kept.groupBy("id").agg(F.collect_list("term").alias("terms"), (F.max("df") > HEAVY_TEXTS).alias("heavy")), "rows")
+    light = kept.where(F.col("df") <= HEAVY_TEXTS).select("id", "term").join(rows.select("id", "heavy"), "id")
+    a, b = light.select("term", "id", "heavy").toDF("term", "a", "heavy_a"), light.select("term", "id", "heavy").toDF("term", "b", "heavy_b")
+    met = a.join(b, "term").where("a < b and not (heavy_a and heavy_b)").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    crowd = rows.where("heavy").select("id", "terms")
+    n = math.ceil(crowd.count() / PAIR_ROWS)
+    if n == 0:
+        return met
+    own = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = crowd.select("id", "terms", own.alias("i")).withColumn("j", F.explode(F.sequence("i", F.lit(n - 1))))
+    right = crowd.select(F.col("id").alias("id_b"), F.col("terms").alias("terms_b"), own.alias("j_b"))
+    right = right.withColumn("i_b", F.explode(F.sequence(F.lit(0), "j_b")))
+
+    def count(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "common": []})
+        c = _common_terms(list(x["terms"]), list(y["terms_b"]))
+        u, v = x["id"].to_numpy(), y["id_b"].to_numpy()
+        if key[0] == key[1]:
+            c[u[:, None] >= v[None, :]] = 0
+        at, to = np.nonzero(c)
+        return pd.DataFrame({"a": np.minimum(u[at], v[to]), "b": np.maximum(u[at], v[to]), "common": c[at, to].astype(np.int64)})
+
+    dense = left.groupBy("i", "j").cogroup(right.groupBy("i_b", "j_b")).applyInPandas(count, "a long, b long, common long")
+    return met.unionByName(dense)
 
 
 def hybrid_knn(texts: DataFrame, vectors: DataFrame, k: int = 6) -> DataFrame:

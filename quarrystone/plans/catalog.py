@@ -163,10 +163,16 @@ def lexical_cooccurrence_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    """Only terms on at most 60 texts, as in its SQL; ``lexical_cooccurrence_all`` counts every term."""
     texts = _entities(spark, d).select(F.col("entity_id").alias("id"), F.array_join("descriptions", " ").alias("text"))
     return graph.cooccurrence(texts, 60)
 
 
+def lexical_cooccurrence_all(spark: SparkSession, d: str) -> DataFrame:
+    texts = _entities(spark, d).select(F.col("entity_id").alias("id"), F.array_join("descriptions", " ").alias("text"))
+    return graph.cooccurrence(texts)
+
+
 def hybrid_knn(spark: SparkSession, d: str) -> DataFrame:
     """Documents that have an embedding, which join one to one on their ids."""
     e = _embeddings(spark, d)
@@ -339,8 +345,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         clean_documents, tokenize_stats, keyword_token_counts, lexical_term_counts, sentence_stats, render_blocks, relation_texts, entity_texts,
         subchunk_labels, block_errors, rebuilt_tables, text_runs, word_chunks, structured_chunks, table_chunks, tau_subchunks, tau_text_subchunks,
-        numbered_chunks, normalised_vectors, mean_vectors, semantic_knn, lexical_cooccurrence, lexical_cooccurrence_topk, hybrid_knn, pagerank_core,
-        pagerank_converged, keyword_vocabulary, keyword_edges, keyword_vectors, skeleton_entities, skeleton_relations, hashed_vectors, text_retrieve,
+        numbered_chunks, normalised_vectors, mean_vectors, semantic_knn, lexical_cooccurrence, lexical_cooccurrence_all, lexical_cooccurrence_topk,
+        hybrid_knn, pagerank_core, pagerank_converged, keyword_vocabulary, keyword_edges, keyword_vectors, skeleton_entities, skeleton_relations, hashed_vectors, text_retrieve,
         knn_retrieve, seed_adjacency, relation_rank, two_channel_retrieve, two_channel_context, two_channel_diagnostics, context_render, corpus_key,
         html_blocks, html_text, pdf_paragraphs, pdf_tables,
     ]

@@ -45,6 +45,17 @@ def test_common_terms_equal_sets():
     assert np.array_equal(got, [[len(set(a) & set(b)) for b in rows[:40]] for a in rows])
 
 
+def test_cooccurrence_counts_terms_on_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(G, "PAIR_ROWS", 64, raising=False)
+    rng = np.random.default_rng(3)
+    # "gearbox" is on 230 texts, others on a few; the last ten texts hold only rare terms
+    held = [{f"rare{j}" for j in rng.integers(60, size=3)} | ({"gearbox"} if i < 230 else set()) for i in range(240)]
+    texts = spark.createDataFrame([(i, " ".join(sorted(t))) for i, t in enumerate(held)] + [(240, None), (241, "")], "id long, text string")
+    got = {(r.a, r.b): r.common for r in G.cooccurrence(texts).collect()}
+    want = {(i, j): len(held[i] & held[j]) for i in range(240) for j in range(i + 1, 240) if held[i] & held[j]}
+    assert got == want and G.cooccurrence(texts).count() == len(want)
+
+
 def test_hybrid_graph(spark):
     texts = spark.createDataFrame([(0, "alpha beta"), (1, "beta gamma"), (2, "delta"), (3, "")], "id long, text string")
     v = vecs(spark, [(i, np.eye(4)[i]) for i in range(4)])
