@@ -56,6 +56,18 @@ def test_crowded_shards_are_split(spark, monkeypatch):
     assert sum(len(got[i] & set(want[i])) for i in want) / 1500 >= 0.95
 
 
+def test_a_crowd_of_scaled_and_nearly_equal_copies(spark):
+    rng = np.random.default_rng(5)
+    crowd = rng.normal(size=16) * rng.uniform(0.1, 9, size=(3000, 1)) * (1 + 1e-6 * rng.normal(size=(3000, 16)))
+    x = np.concatenate([crowd, rng.normal(size=(3000, 16))]).astype(np.float32)
+    ids = rng.permutation(6000)
+    got = {}
+    for r in N.similar(table(spark, ids, x)).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    first = sorted(ids[:3000].tolist())[:6]
+    assert all(got[i] == [j for j in first if j != i][:5] for i in ids[:3000].tolist())
+
+
 PERSON = ["José Vagemuleau", "Dr. José Vagemuleau", "VAGEMULEAU, José", "Vagemuleau José", "Pepe Vagemuleau", "Jose B. Vagemuleau", "J. Vagemuleau", "José Vagemluleau"]
 RELATIVE = ["Margaret Vagemuleau", "Peggy Vagemuleau"]
 FIRM = ["Kudinumeau Energy Systems Ltd.", "Kudinumeau Energy Systems, Limited", "Kudinumeau-Energy Sys. Ltd", "KUDINUMEAU ENERGY SYSTEMS LTD.", "Kudinumeau ES Ltd.", "Energy Systems Kudinumeau Ltd.", "Kudinumeauenergy systems Ltd.", "K. Energy Systems (Kudinumeau)", "The Kudinumeau Energy Systems Company"]
