@@ -4,8 +4,9 @@ Each distinct spelling is read into a kind, a core (surname, organisation stem,
 name, line of business, number), with nicknames, abbreviations, legal forms, titles and order evened out; spellings
 that read alike are one key. Keys are compared by character n-gram vectors of their cores, weighted by rarity, in a
 distributed sparse cosine join: keys of one block (kind and second part) that share a gram of their prefixes, the
-rarest grams that hold all but a rest too light to reach the threshold, are the only ones that can be similar enough,
-so none is lost. Candidates over the threshold are checked by edit distance, and grouped: near-equal spellings join
+rarest grams that hold all but a rest too light to reach the threshold, are the only ones of a block that can be similar
+enough. Keys of different blocks and kinds meet by equal forms: the whole name, or both parts of a person's, as they are
+and with one letter left out, so every pair within one edit of these is compared. Candidates over the threshold are checked by edit distance, and grouped: near-equal spellings join
 their most frequent neighbour, the rest is merged by average linkage, reciprocal nearest neighbours of each round at
 once. A name in any share of the rows is one spelling; spellings of a group meet in blocks.
 """
@@ -31,6 +32,8 @@ LENGTHS = 3
 NEAR = 0.9
 #: Average similarity from which groups are merged.
 AVERAGE = 0.5
+#: Letters from which whole names of different kinds may differ by an edit.
+WHOLE = 8
 #: Spellings of a group that meet in one task, a side.
 BLOCK = 500
 
@@ -177,13 +180,15 @@ def read_name(name: str) -> tuple[str, str, str]:
     return "person", "".join(rest), first if len(first) == 1 else first_name(first) or first
 
 
+def by_ear(s: str) -> str:
+    return re.sub(r"(.)\1", r"\1", s.replace("ph", "f").replace("w", "v").replace("y", "i").replace("z", "s").replace("k", "c"))
+
+
 def core_similarity(a: str, b: str) -> float:
     most = 2 if min(len(a), len(b)) >= 8 else 1
     d = distance(a, b, most)
     if d > 1:
-        # spellings by ear
-        ear = lambda s: re.sub(r"(.)\1", r"\1", s.replace("ph", "f").replace("w", "v").replace("y", "i").replace("z", "s").replace("k", "c"))
-        if ear(a) == ear(b):
+        if by_ear(a) == by_ear(b):
             d = 1
     return {0: 1.0, 1: 0.95, 2: 0.45}.get(d, 0.0) if d <= most else 0.0
 
@@ -198,6 +203,47 @@ def second_similarity(kind: str, a: str, b: str) -> float:
     return 0.0
 
 
+def whole(kind: str, core: str, second: str) -> str | None:
+    """The whole name in its written order; None for a person known by an initial."""
+    if kind == "person":
+        return second + core if len(second) > 1 else None
+    return core + second
+
+
+def pair_similarity(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
+    """Similarity of two readings (kind, core, second part), which may differ in kind."""
+    if a[0] == b[0]:
+        if sim := core_similarity(a[1], b[1]) * second_similarity(a[0], a[2], b[2]):
+            return sim
+        if a[0] == "person":
+            return 0.95 if len(a[2]) > 1 and a[1:] == b[:0:-1] else 0.0
+        # a line of business may not have been told from the stem
+        if a[0] != "organisation" or (a[2] and b[2]):
+            return 0.0
+    x, y = whole(*a), whole(*b)
+    if not x or not y or re.sub(r"\D", "", x) != re.sub(r"\D", "", y):
+        return 0.0
+    if x == y:
+        return 1.0
+    return 0.95 if min(len(x), len(y)) >= WHOLE and distance(x, y, 1) <= 1 else 0.0
+
+
+def _one_left_out(s: str) -> set[str]:
+    return {s} | {s[:i] + s[i + 1 :] for i in range(len(s)) if not s[i].isdigit()}
+
+
+def name_forms(kind: str, core: str, second: str) -> set[str]:
+    """Forms of which two readings share one if ``pair_similarity`` can be 0.9 or more."""
+    forms = set()
+    if (w := whole(kind, core, second)) is not None:
+        forms = {f"w|{x}" for x in (_one_left_out(w) if len(w) >= WHOLE else {w})}
+    if kind == "person" and len(second) > 1:
+        firsts = _one_left_out(second) if len(second) > 3 else {second}
+        forms |= {f"p|{f}|{c}" for f in firsts for c in _one_left_out(core)} | {f"e|{f}|{by_ear(core)}" for f in firsts}
+        forms.add("s|" + "|".join(sorted([core, second])))
+    return forms
+
+
 def spelling_counts(spellings: list[DataFrame]) -> DataFrame:
     """(name, n): each distinct spelling of several one-column tables; nulls are left out."""
     every = spellings[0].toDF("name")
@@ -221,7 +267,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def with_blocks(keys: DataFrame) -> DataFrame:
-    """Adds ``blocks``: keys that share none can't be alike. A person's is the first name; an initial is in the blocks of all
+    """Adds ``blocks``: keys that share none meet in ``across_blocks`` only. A person's is the first name; an initial is in the blocks of all
     known first names it may stand for, and with the unknown ones that begin with it."""
     known = F.array(*[F.lit(n) for n in sorted(NICKNAMES)])
     initial = F.substring("second", 1, 1)
@@ -268,7 +314,33 @@ def similar_keys(keys: DataFrame, cosine: float = COSINE) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
-    return pairs.mapInArrow(check, "a long, b long, sim double").where("sim > 0")
+    inside = pairs.mapInArrow(check, "a long, b long, sim double").where("sim > 0")
+    return inside.unionByName(across_blocks(keys)).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+
+
+def across_blocks(keys: DataFrame) -> DataFrame:
+    """(a, b, sim), a < b: keys of different kind or second part that share one of ``name_forms`` and are similar."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["key"], f) for r in batch.to_pylist() for f in name_forms(r["kind"], r["core"], r["second"])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["key", "form"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sim = [pair_similarity(tuple(r["ra"].values()), tuple(r["rb"].values())) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
+
+    forms = keys.select("key", "kind", "core", "second").mapInArrow(spread, "key long, form string").select(F.xxhash64("form").alias("at"), "key")
+    # most forms are those of one key
+    shared = stored(forms, "forms")
+    shared = shared.join(shared.groupBy("at").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("at"), "at")
+    a, b = shared.toDF("at", "a"), shared.toDF("at", "b")
+    met = a.join(b, "at").where("a < b").select("a", "b").distinct()
+    side = keys.select("key", F.struct("kind", "core", "second").alias("r"))
+    pairs = met.join(side.toDF("a", "ra"), "a").join(side.toDF("b", "rb"), "b")
+    pairs = pairs.where((F.col("ra.kind") != F.col("rb.kind")) | (F.col("ra.second") != F.col("rb.second")))
+    return pairs.select("a", "b", "ra", "rb").mapInArrow(check, "a long, b long, sim double").where("sim > 0")
 
 
 def _absorb(keys: DataFrame, edges: DataFrame) -> DataFrame:

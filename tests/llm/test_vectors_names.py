@@ -89,6 +89,16 @@ def test_variants_are_linked_and_others_are_not(spark):
     assert M.name_pairs(M.link_names([a.limit(0), b.limit(0)])).count() == 0
 
 
+def test_variants_in_different_blocks_are_linked(spark):
+    groups = [
+        ["Acme Robotics GmbH", "Acme Robotics", "Acme Robotcs GmbH"], ["Acme GmbH", "Acme"], ["Zarko Petrulevic", "Xarko Petrulevic", "Xarko Petruleivc", "Petrulevic Zarko"],
+        ["Kudinumeau 3 GmbH", "Kudinumeau 3"], ["Kudinumeau 4"], ["Kudinumeau"], ["Mirko Petrulevic"], ["X. Petrulevich"],
+    ]
+    linked = M.link_names([spark.createDataFrame([(n,) for g in groups for n in g], "x string")])
+    got = {tuple(r) for r in M.name_pairs(linked).collect()}
+    assert got == {(min(p, q), max(p, q)) for g in groups for p in g for q in g if p != q}
+
+
 def test_a_group_of_many_spellings_meets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 3)
     rows = [(f"n{i}", 1, "x", 5) for i in range(11)] + [("alone", 1, "x", 6)]
