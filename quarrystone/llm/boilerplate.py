@@ -29,7 +29,7 @@ HEADING_SHARE = 0.1
 #: The same for labels, which no text body has in common.
 LABEL_PAGES = 4
 LABEL_SHARE = 0.02
-#: Longer elements are no template elements.
+#: Longer elements are text, unless they recur as a whole.
 LONGEST = 300
 #: Words of a line that is content by itself: with a sentence mark at its end, and without.
 SENTENCE_WORDS = 2
@@ -73,7 +73,7 @@ def _elements(lines: DataFrame) -> DataFrame:
         (~teaser & ~menu & (worded | ~short)).alias("is_text"),
         line.startswith("- ").alias("is_item"),
         teaser.alias("is_teaser"),
-        F.when(~row & short & (line != ""), F.xxhash64(_shape(line, F.col("_site")))).alias("shape"),
+        F.when(~row & (line != ""), F.xxhash64(_shape(line, F.col("_site")))).alias("shape"),
         F.when(~row & short & ~closed & (label != ""), F.xxhash64(F.lit("label"), F.lower(label))).alias("label"),
     )
 

@@ -78,6 +78,16 @@ def test_templates_go_and_bodies_stay(spark):
     assert text[3].split("\n")[0] == "Engine dddd" and text[3].endswith("dddddd remarks.") and text[500] is None
 
 
+def test_a_long_notice_on_every_page_goes(spark):
+    web, own = pages(spark)
+    notice = "We and our partners store cookies on your device and read them to measure how our pages are used. " * 5
+    # in the body, where only the count can tell it, and a long line of one page
+    web = web.withColumn("text", F.replace("text", F.lit("\n- bolt"), F.concat(F.lit("\n" + notice + "\n"), F.repeat(F.concat("doc_id", F.lit(" Only here it says so. ")), F.lit(20)), F.lit("\n- bolt"))))
+    web = web.withColumn("text", F.translate("text", "0123456789", "zyxwvutsrq"))
+    got = {(r.doc_id, r.item_no): r.is_boilerplate for r in B.label_pages(web, own.limit(0)).where("place = 'line'").collect()}
+    assert all(got[i, 6] for i in range(12)) and not any(got[i, n] for i in range(12) for n in (4, 5, 7, 8, 9))
+
+
 def test_empty_tables(spark):
     web, own = pages(spark, 1)
     assert B.label_pages(web.limit(0), own.limit(0)).count() == 0
