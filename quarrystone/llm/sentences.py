@@ -54,8 +54,8 @@ _THAI = re.compile(r"[ก-๛]")
 
 SPAN_COST = 2.0
 UNBALANCED = 10.0
-#: A span of more characters is only looked at where no boundary lies within it.
-LONGEST_SPAN = 4000
+#: The most that ``_closing`` or ``_thai_space`` gives.
+BEST_CLOSING = 4.0
 
 
 def _depths(unit: str) -> tuple[list[int], list[int]]:
@@ -231,20 +231,28 @@ def divide(unit: str) -> list[tuple[int, int]]:
     best = [0.0] + [-1e18] * len(ends)
     back = [0] * (len(ends) + 1)
     opened = [0.0, *[_opening(unit, c[1], german) for c in cuts]]
+    # the best that any sentence beginning at one of the first starts can build on
+    reach = [opened[0]] + [-1e18] * (len(ends) - 1)
     for j, (end, following, mark) in enumerate(ends, 1):
+        low, low_from = depth[end], end
         for i in range(j - 1, -1, -1):
+            if reach[i] - SPAN_COST + (BEST_CLOSING if mark is not None else 0.0) < best[j] - 1e-9:
+                break  # no longer span can win
             s = starts[i]
             if end <= s:
                 continue
-            if end - s > LONGEST_SPAN and i < j - 1:
-                break
-            score = best[i] + opened[i] - SPAN_COST - UNBALANCED * _stray(unit, s, end, depth)
+            if s < low_from:
+                low, low_from = min(low, min(depth[s:low_from])), s
+            stray = depth[s] + depth[end] - 2 * low if s == low_from else _stray(unit, s, end, depth)
+            score = best[i] + opened[i] - SPAN_COST - UNBALANCED * stray
             if mark is not None:
                 score += _thai_space(unit, end, following) if mark < 0 else _closing(unit, s, mark, end, following, german, openers[end])
             if end - s < 3:
                 score -= 3.0
             if score > best[j]:
                 best[j], back[j] = score, i
+        if j < len(ends):
+            reach[j] = max(reach[j - 1], best[j] + opened[j])
     spans = []
     j = len(ends)
     while j > 0:

@@ -18,6 +18,11 @@ TIGHT = [
 ]
 
 
+def test_a_sentence_of_any_length_is_one():
+    first = "He said (" + "one more word " * 250 + "as Dr. Meyer has it, " + "one more word " * 250 + "to be exact) and went."
+    assert [(first + " Then he slept.")[a:b] for a, b in S.sentence_spans(first + " Then he slept.")] == [first, "Then he slept."]
+
+
 @pytest.mark.parametrize("want", CASES)
 @pytest.mark.parametrize("space", [" ", "\n", "  "])
 def test_spaced_scripts(want, space):
