@@ -127,18 +127,21 @@ EASY = "The dog runs. The cat sits. We see the sun. It is big. The boy has a red
 HARD = "The comprehensive interpretation of transitional documentation necessitates considerable organisational responsibility in accordance with international administrative regulations, notwithstanding the institutional peculiarities of the respective municipalities and the corresponding infrastructural characteristics. " * 3
 
 
+GERMAN = "Das Kind sieht den Hund und die Katze. Der Hund ist im Haus mit dem Mann. " * 5
+
+
 def samples(spark):
     rows = []
     for i in range(15):
         for level, text in ((1, EASY), (3, EASY[: 100 + i] + ". " + HARD), (5, HARD)):
             rows.append((len(rows), "en", text + f" It is {i}.", level))
+    rows += [(500 + i, "de", GERMAN, 1) for i in range(3)]
     rows += [(900, "en", None, 1), (901, "en", EASY, None), (902, None, EASY, 1)]
     return spark.createDataFrame(rows, "sample_id long, lang string, text string, reading_level int")
 
 
 def test_reading_levels(spark):
-    german = "Das Kind sieht den Hund und die Katze. Der Hund ist im Haus mit dem Mann. " * 5
-    rows = [(1, EASY), (2, HARD), (3, None), (4, ""), (5, "The cat is on the mat."), (6, "这辆车很好。" * 60), (7, german), (7, german), (None, EASY), (8, "x" * 5000)]
+    rows = [(1, EASY), (2, HARD), (3, None), (4, ""), (5, "The cat is on the mat."), (6, "这辆车很好。" * 60), (7, GERMAN), (7, GERMAN), (None, EASY), (8, "x" * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "9 reading_level", "'q' language")
     got = {}
     for r in R.reading_levels(df, samples(spark), ["doc_id"]).collect():
@@ -150,11 +153,41 @@ def test_reading_levels(spark):
 
 
 def test_counts():
-    counts, language = R.TextMeasure().measure(["The fine engine starts. It's a beautiful day! 3.5 km", "", "L'école est belle et la vie aussi.\n\nFin"])
-    n, sentences, letters, long_words, poly = counts[0]
-    assert (n, sentences, long_words, poly) == (10, 3, 1, 1) or (n, sentences) == (11, 3)
-    assert counts[1].tolist() == [0, 1, 0, 0, 0] and [R.LANGUAGES[i] if i >= 0 else None for i in language] == ["en", None, "fr"]
-    assert counts[2][1] == 2
+    texts = ["The fine engine starts. It's a beautiful day! 3.5 km", "", "L'école est belle et la vie aussi.\n\nFin"]
+    m = R.TextMeasure(R.profiles([EASY + texts[0], GERMAN, texts[2]], ["en", "de", "fr"]))
+    counts, values, language = m.measure(texts)
+    # a closing part without a mark is no sentence where others have one, nor is a heading
+    assert counts.tolist() == [[11, 2], [0, 0], [8, 1]]
+    assert [R.LANGUAGES[i] if i >= 0 else None for i in language] == ["en", None, "fr"]
+    assert all(v != v for v in values[1]) and all(v > 0 for v in values[0])
+
+
+def test_sentences_weigh_by_their_logarithm():
+    m = R.TextMeasure(R.profiles([EASY], ["en"]))
+    counts, values, _ = m.measure(["One two three four. One two three four five six seven eight nine.", "Heading Here\nOne two three four.\nKey = a; Other = b.\n", "only words"])
+    assert counts[:, 1].tolist() == [2, 1, 1]
+    linsear = values[:, R.FORMULAS.index("linsear")]
+    assert abs(linsear[0] - (2 * 4.5) ** 0.5) < 1e-9 and abs(linsear[1] - 2) < 1e-9 and abs(linsear[2] - 1) < 1e-9
+
+
+def test_syllables_are_hyphenated():
+    words = {
+        "en": "nation=2 table=2 named=1 wanted=2 video=3 queen=1 houses=2 special=2 radio=3 makes=1 cable=2".split(),
+        "de": "nation=3 batterie=3 theater=3 bauer=2 heizung=2 spiel=1 leute=2".split(),
+        "fr": "voiture=2 tables=1 portent=1 aérien=3 maïs=2 eau=1 beauté=2".split(),
+        "es": "aéreo=4 país=2 ciudad=2 teatro=3 agua=2 poesía=4 que=1".split(),
+    }
+    m = R.TextMeasure(R.profiles([EASY], ["en"]))
+    import numpy as np
+
+    wrong = []
+    for x, listed in words.items():
+        for w, n in (y.split("=") for y in listed):
+            chars = R.Characters([w])
+            got = m.syllables(chars.c, np.array([0]), np.array([len(w)]), np.array([R.LANGUAGES.index(x)]))[0]
+            if got != int(n):
+                wrong.append((x, w, int(got), int(n)))
+    assert not wrong
 
 
 def test_held_out_accuracy(spark, small):
@@ -164,4 +197,4 @@ def test_held_out_accuracy(spark, small):
     fit, held = rated.where("sample_id % 3 <> 0"), rated.where("sample_id % 3 = 0")
     rows = R.reading_levels(held.withColumnRenamed("reading_level", "rated"), fit, ["sample_id", "rated"]).collect()
     right = sum(r.rated == r.reading_level for r in rows) / len(rows)
-    assert right >= 0.7 and all(abs(r.rated - r.reading_level) <= 2 for r in rows)
+    assert right >= 0.78 and all(abs(r.rated - r.reading_level) <= 2 for r in rows)
