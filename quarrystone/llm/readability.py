@@ -82,23 +82,23 @@ class Characters:
         self.stops = np.flatnonzero(self.c == 0)
         self.starts = np.concatenate([[0], self.stops[:-1] + 1])
 
-    def trigrams(self, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The code of the trigram around each character, and whether it has at least two letters."""
+    def trigrams(self, class_of: np.ndarray) -> np.ndarray:
+        """The code of the trigram around each character."""
         k = class_of[self.c]
-        before, after = np.concatenate([[0], k[:-1]]), np.concatenate([k[1:], [0]])
-        letters = (before > 0).astype(np.int8) + (k > 0) + (after > 0)
-        return (before << 12) | (k << 6) | after, (letters >= 2) & (k > 0)
+        code = k << 6
+        code[1:] |= k[:-1] << 12
+        code[:-1] |= k[1:]
+        return code
 
 
 def profiles(texts: list[str], languages: list[str]) -> np.ndarray:
-    """Log probabilities of trigrams, a column for each of LANGUAGES; learned with one added to each count."""
+    """Log probabilities of trigrams, a column for each of LANGUAGES; learned with a half added to each count."""
     class_of = _class_of()
     counts = np.zeros((64**3, len(LANGUAGES)))
     for i, x in enumerate(LANGUAGES):
         own = [t for t, y in zip(texts, languages) if y == x]
         if own:
-            code, used = Characters(own).trigrams(class_of)
-            counts[:, i] = np.bincount(code[used], minlength=64**3)
+            counts[:, i] = np.bincount(Characters(own).trigrams(class_of), minlength=64**3)
     total = counts.sum(0)
     table = np.log((counts + 0.5) / (total + 0.5 * 20_000))
     table[:, total == 0] = -99.0
@@ -109,8 +109,12 @@ class TextMeasure:
     """Counts over many texts at once; made once per task."""
 
     def __init__(self, table: np.ndarray) -> None:
-        self.by_language = np.ascontiguousarray(table.T)
-        self.known = self.by_language > self.by_language.min(1, keepdims=True)
+        code = np.arange(64**3)
+        parts = np.stack([code >> 12, (code >> 6) & 63, code & 63]) > 0
+        self.used = ((parts.sum(0) >= 2) & parts[1]).astype(np.int64)
+        # cost in thousandths below, whether the samples hold the trigram above: both sums in one
+        known = (table > table.min(0)).astype(np.int64)
+        self.packed = [(known[:, i] << 44 | np.round(-1000 * table[:, i]).astype(np.int64)) * self.used for i in range(len(LANGUAGES))]
         self.alnum = np.fromiter((chr(i).isalnum() if not 0xD800 <= i < 0xE000 else False for i in range(_SIZE)), dtype=bool, count=_SIZE)
         self.space = np.fromiter((chr(i).isspace() for i in range(_SIZE)), dtype=bool, count=_SIZE)
         self.vowel, self.mark, self.closer = (_set(x) for x in (VOWELS, MARKS, CLOSERS))
@@ -127,15 +131,12 @@ class TextMeasure:
 
     def languages(self, chars: Characters) -> np.ndarray:
         """The number of each text's language, -1 for none."""
-        code, used = chars.trigrams(self.class_of)
-        at = np.flatnonzero(used)
-        text = np.searchsorted(chars.stops, at)
-        code = code[at]
-        n = np.bincount(text, minlength=len(chars.stops))
-        fit = np.stack([np.bincount(text, x[code], minlength=len(n)) for x in self.by_language])
-        best = fit.argmax(0)
-        known = np.bincount(text, self.known[best[text], code], minlength=len(n))
-        return np.where((n > 0) & (known >= LEAST_KNOWN * n), best, -1)
+        code = chars.trigrams(self.class_of)
+        total = lambda x: np.add.reduceat(x[code], chars.starts)
+        n, sums = total(self.used), np.stack([total(x) for x in self.packed])
+        cost, known = sums & (1 << 44) - 1, sums >> 44
+        best = cost.argmin(0)
+        return np.where((n > 0) & (known[best, np.arange(len(n))] >= LEAST_KNOWN * n), best, -1)
 
     def syllables(self, c: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Syllables of each word from start to end, by the rules of its language ``of``."""
