@@ -5,10 +5,15 @@ name, line of business, number), with nicknames, abbreviations, legal forms, tit
 that read alike are one key. Keys are compared by character n-gram vectors of their cores, weighted by rarity, in a
 distributed sparse cosine join: keys of one block (kind and second part) that share a gram of their prefixes, the
 rarest grams that hold all but a rest too light to reach the threshold, are the only ones of a block that can be similar
-enough. Keys of different blocks and kinds meet by equal forms: the whole name, or both parts of a person's, as they are
-and with one letter left out, so every pair within one edit of these is compared. Candidates over the threshold are checked by edit distance, and grouped: near-equal spellings join
-their most frequent neighbour, the rest is merged by average linkage, reciprocal nearest neighbours of each round at
-once. A name in any share of the rows is one spelling; spellings of a group meet in blocks.
+enough. Keys of any
+block and kind meet by equal forms too: the whole name, or both parts of a person's, as they are and with one letter left
+out, and cores that sound alike, so every pair within one edit of these is compared whatever its cosine. Candidates are
+checked by edit distance, and all of them are grouped by average linkage, reciprocal nearest neighbours of each round at
+once. A name in any share of the rows is one spelling; spellings of a group meet in blocks. There is no top-n cap: every
+candidate over the threshold is kept, as a cap would lose links.
+
+What the reading knows (nicknames, lines of business, titles) is a ``Lexicon``, a parameter; short forms, acronyms of listed
+lines, misspelt and cut words follow by rule.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,18 +31,22 @@ from quarrystone.runtime import cut, small_side, stored
 
 #: Cosine of two cores that are compared further.
 COSINE = 0.4
-#: Letters by which the lengths of two cores of one entity may differ.
-LENGTHS = 3
-#: Similarity from which spellings are near-equal.
-NEAR = 0.9
-#: Average similarity from which groups are merged.
-AVERAGE = 0.5
+#: Letters by which the lengths of two cores may differ to be within two edits; cores that sound alike meet elsewhere.
+LENGTHS = 2
+#: Average similarity from which groups are merged: more than two edits alone give.
+AVERAGE = 0.46
 #: Letters from which whole names of different kinds may differ by an edit.
 WHOLE = 8
 #: Spellings of a group that meet in one task, a side.
 BLOCK = 500
 
-#: First names and the short and foreign forms people use for them.
+#: Letters from which one edit makes a variant of a name's core; shorter cores that differ by a letter are other names.
+EDITED = 7
+#: Letters that a short form keeps of the beginning of a word, at least.
+KEPT = 3
+
+#: Public table of first names and the short and foreign forms people use for them that no rule gives. Forms that
+#: are a beginning of the name, with or without a closing y, ie, i or o, need no entry.
 NICKNAMES = {
     "alexander": "alex sascha xander sandro al lex", "charlotte": "charlie lotte lottie lotti charly",
     "dolores": "lola lolita loli", "edouard": "eddy edward eduard ed eddie edi", "elizabeth": "betty liz lisa beth lizzy eliza elisabeth lizzie",
@@ -48,22 +57,37 @@ NICKNAMES = {
     "robert": "bob rob bobby robbie bert", "susanne": "susi sanne susan sue suzanne susie", "theodore": "theo ted teddy theodor",
     "thomas": "tom tommy tomas", "wilhelmina": "willa mina minna wilma minnie", "william": "bill will willy billy liam wilhelm", "zoltan": "zoli zolika",
 }
-#: Words of lines of business, by their common key.
+#: Public table of words that name a line of business or a form of enterprise, one key a row; misspelt, shortened
+#: and abbreviated forms follow by rule.
 BUSINESS = {
     "automotive": "automotive", "batteriewerke": "batteriewerke", "energysystems": "energy systems", "engineering": "engineering",
     "fahrzeugbau": "fahrzeugbau", "international": "international", "logistics": "logistics", "motors": "motors",
     "researchinstitute": "research institute", "technologies": "technologies technology", "versicherung": "versicherung",
     "group": "group", "holding": "holding", "industries": "industries", "solutions": "solutions", "partners": "partners", "bank": "bank",
+    "pharmaceuticals": "pharmaceuticals", "services": "services", "consulting": "consulting", "foods": "foods", "media": "media",
+    "robotics": "robotics", "software": "software", "electronics": "electronics", "chemicals": "chemicals",
 }
 #: Legal forms.
 LEGAL = re.compile(
     r"(?:[\s,]+|^)(?:a\.?\s?g\.?|aktiengesellschaft|g\.?\s?m\.?\s?b\.?\s?h\.?|gesellschaft mbh|ltd\.?|limited|inc\.?|incorporated|"
     r"kft\.?|s\.?\s?a\.?|s\.?\s?r\.?\s?l\.?|llc|plc|corp\.?|corporation|company|co\.?|kg|se|b\.?\s?v\.?)$"
 )
+#: Titles.
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "sir", "herr", "frau", "dipl", "ing", "sr", "sra", "mme"}
 
-_FIRST = {n: k for k, v in NICKNAMES.items() for n in [k, *v.split()]}
-_WORDS = {w: k for k, v in BUSINESS.items() for w in v.split()}
+
+class Lexicon:
+    """Public knowledge about names, which ``link_names`` takes as a parameter: replace or empty it for other languages."""
+
+    def __init__(self, nicknames: dict[str, str] = NICKNAMES, business: dict[str, str] = BUSINESS, titles: set[str] = TITLES):
+        self.nicknames, self.business, self.titles = nicknames, business, titles
+        self.first = {n: k for k, v in nicknames.items() for n in [k, *v.split()]}
+        self.words = {w: k for k, v in business.items() for w in v.split()}
+        #: initials of keys of several words
+        self.initials = {"".join(w[0] for w in v.split()): k for k, v in business.items() if len(v.split()) > 1 and k == v.replace(" ", "")}
+
+
+_LEXICON = Lexicon()
 
 
 def fold(s: str) -> str:
@@ -92,17 +116,17 @@ def distance(a: str, b: str, most: int) -> int:
 
 
 @lru_cache(100_000)
-def business(word: str) -> str | None:
+def business(word: str, known: Lexicon = _LEXICON) -> str | None:
     """The line of business a word, misspelt or shortened, stands for."""
-    if word in _WORDS:
-        return _WORDS[word]
-    if len(word) < 3:
+    if word in known.words:
+        return known.words[word]
+    if len(word) < 3 or word in known.first:
         return None
-    for w, k in _WORDS.items():
+    for w, k in known.words.items():
         if len(word) < len(w) and w.startswith(word):
             return k
     best = None
-    for w, k in _WORDS.items():
+    for w, k in known.words.items():
         if len(w) >= 5 and distance(word, w, 1 if len(w) < 9 else 2) <= (1 if len(w) < 9 else 2):
             best = best or k
         # letters left out: same first and last letter (or that of the plural), the others in order
@@ -114,25 +138,25 @@ def business(word: str) -> str | None:
 
 
 @lru_cache(100_000)
-def first_name(word: str) -> str | None:
-    if word in _FIRST:
-        return _FIRST[word]
+def first_name(word: str, known: Lexicon = _LEXICON) -> str | None:
+    if word in known.first:
+        return known.first[word]
     if len(word) >= 4:
-        for n, k in _FIRST.items():
+        for n, k in known.first.items():
             if len(n) >= 4 and distance(word, n, 1) <= 1:
                 return k
     return None
 
 
-def _cut_business(word: str) -> tuple[str, str] | None:
+def _cut_business(word: str, known: Lexicon) -> tuple[str, str] | None:
     """A stem with its line of business written on to it."""
-    for w, k in _WORDS.items():
+    for w, k in known.words.items():
         if word.endswith(w) and len(word) - len(w) >= 4:
             return word[: -len(w)], k
     return None
 
 
-def read_name(name: str) -> tuple[str, str, str]:
+def read_name(name: str, known: Lexicon = _LEXICON) -> tuple[str, str, str]:
     """(kind, core, second part) of a spelling."""
     s = " ".join(fold(name).replace("’", "'").split())
     m = re.fullmatch(r"(\w)\.? (.+?) ?\((.+)\)", s)
@@ -148,17 +172,15 @@ def read_name(name: str) -> tuple[str, str, str]:
         return "product", re.sub(r"[\W_]+", "", m[1]), str(int(m[2]))
     comma = s.split(",")
     tokens = [re.sub(r"[\W_]+", "", t) for t in re.split(r"[\s,]+", s)]
-    upper = {re.sub(r"\W+", "", t) for t in re.split(r"[\s,]+", name) if len(t) == 2 and t.isupper()}
+    upper = {re.sub(r"\W+", "", t).lower() for t in re.split(r"[\s,]+", name) if 2 <= len(t) <= 4 and t.isupper()}
     tokens = [t for t in tokens if t]
     if not tokens:
         return "other", s, ""
-    kinds: list[str | None] = [business(t) for t in tokens]
+    kinds: list[str | None] = [business(t, known) for t in tokens]
     for i, t in enumerate(tokens):
-        if kinds[i] is None and t == "es" and "ES" in upper:
-            kinds[i] = "energysystems"
-        if kinds[i] is None and t == "ri" and "RI" in upper:
-            kinds[i] = "researchinstitute"
-        if kinds[i] is None and (legal or len(tokens) > 1 or len(t) > 14) and (found := _cut_business(t)):
+        if kinds[i] is None and t in upper and t in known.initials:
+            kinds[i] = known.initials[t]
+        if kinds[i] is None and (legal or len(tokens) > 1 or len(t) > 14) and (found := _cut_business(t, known)):
             tokens[i], kinds[i] = found[0], "+" + found[1]
     lines = [k.lstrip("+") for k in kinds if k]
     if lines and any(k is None or k[0] == "+" for k in kinds):
@@ -166,18 +188,18 @@ def read_name(name: str) -> tuple[str, str, str]:
         return "organisation", stem, max(lines, key=lambda k: (lines.count(k), len(k)))
     if legal:
         return "organisation", "".join(tokens), ""
-    tokens = [t for t in tokens if t not in TITLES] or tokens
+    tokens = [t for t in tokens if t not in known.titles] or tokens
     if len(tokens) == 1:
         return "other", tokens[0], ""
     if len(comma) == 2 and comma[1].strip():
         split = len([t for t in re.split(r"\s+", comma[0].strip()) if t])
         tokens = tokens[split:] + tokens[:split]
-    elif first_name(tokens[-1]) and not first_name(tokens[0]) and len(tokens[0]) > 1:
+    elif first_name(tokens[-1], known) and not first_name(tokens[0], known) and len(tokens[0]) > 1:
         tokens = tokens[-1:] + tokens[:-1]
     first, rest = tokens[0], [t for t in tokens[1:] if len(t) > 1]
     if not rest:
         return "other", "".join(tokens), ""
-    return "person", "".join(rest), first if len(first) == 1 else first_name(first) or first
+    return "person", "".join(rest), first if len(first) == 1 else first_name(first, known) or first
 
 
 def by_ear(s: str) -> str:
@@ -185,7 +207,8 @@ def by_ear(s: str) -> str:
 
 
 def core_similarity(a: str, b: str) -> float:
-    most = 2 if min(len(a), len(b)) >= 8 else 1
+    short = min(len(a), len(b))
+    most = 2 if short >= 8 else 1 if short >= EDITED else 0
     d = distance(a, b, most)
     if d > 1:
         if by_ear(a) == by_ear(b):
@@ -193,13 +216,23 @@ def core_similarity(a: str, b: str) -> float:
     return {0: 1.0, 1: 0.95, 2: 0.45}.get(d, 0.0) if d <= most else 0.0
 
 
-def second_similarity(kind: str, a: str, b: str) -> float:
+def short_form(a: str, b: str) -> bool:
+    """Whether one first name is the beginning of the other, with or without a closing y, ie or i (Sam, Andy, Danny)."""
+    a, b = sorted((a, b), key=len)
+    stem = re.sub(r"(?:ie|y|i)$", "", a)
+    stems = [a, stem, stem[:-1] if stem[-2:-1] == stem[-1:] else stem]
+    return any(len(x) >= KEPT and b.startswith(x) for x in stems)
+
+
+def second_similarity(kind: str, a: str, b: str, known: Lexicon = _LEXICON) -> float:
     if a == b:
         return 1.0
     if kind == "person":
         if len(a) == 1 or len(b) == 1:
             return 0.8 if a[0] == b[0] else 0.0
-        return 0.95 if len(a) > 3 and len(b) > 3 and distance(a, b, 1) <= 1 and not (a in NICKNAMES and b in NICKNAMES) else 0.0
+        if a in known.nicknames and b in known.nicknames:
+            return 0.0
+        return 0.95 if (len(a) > 3 and len(b) > 3 and distance(a, b, 1) <= 1) or short_form(a, b) else 0.0
     return 0.0
 
 
@@ -210,10 +243,10 @@ def whole(kind: str, core: str, second: str) -> str | None:
     return core + second
 
 
-def pair_similarity(a: tuple[str, str, str], b: tuple[str, str, str]) -> float:
+def pair_similarity(a: tuple[str, str, str], b: tuple[str, str, str], known: Lexicon = _LEXICON) -> float:
     """Similarity of two readings (kind, core, second part), which may differ in kind."""
     if a[0] == b[0]:
-        if sim := core_similarity(a[1], b[1]) * second_similarity(a[0], a[2], b[2]):
+        if sim := core_similarity(a[1], b[1]) * second_similarity(a[0], a[2], b[2], known):
             return sim
         if a[0] == "person":
             return 0.95 if len(a[2]) > 1 and a[1:] == b[:0:-1] else 0.0
@@ -234,9 +267,10 @@ def _one_left_out(s: str) -> set[str]:
 
 def name_forms(kind: str, core: str, second: str) -> set[str]:
     """Forms of which two readings share one if ``pair_similarity`` can be 0.9 or more."""
-    forms = set()
+    # cores that sound alike may differ by more letters than the cosine join looks at
+    forms = {f"e|{kind}|{second}|{by_ear(core)}"}
     if (w := whole(kind, core, second)) is not None:
-        forms = {f"w|{x}" for x in (_one_left_out(w) if len(w) >= WHOLE else {w})}
+        forms |= {f"w|{x}" for x in (_one_left_out(w) if len(w) >= WHOLE else {w})}
     if kind == "person" and len(second) > 1:
         firsts = _one_left_out(second) if len(second) > 3 else {second}
         forms |= {f"p|{f}|{c}" for f in firsts for c in _one_left_out(core)} | {f"e|{f}|{by_ear(core)}" for f in firsts}
@@ -252,9 +286,9 @@ def spelling_counts(spellings: list[DataFrame]) -> DataFrame:
     return every.where(F.col("name").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_batches(batches: Iterator[pa.RecordBatch], known: Lexicon) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        read = [read_name(x) for x in batch.column("name").to_pylist()]
+        read = [read_name(x, known) for x in batch.column("name").to_pylist()]
         columns = [pa.array([r[i] for r in read], pa.string()) for i in range(3)]
         grams = []
         for kind, core, _ in read:
@@ -266,10 +300,10 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def with_blocks(keys: DataFrame) -> DataFrame:
+def with_blocks(keys: DataFrame, lexicon: Lexicon = _LEXICON) -> DataFrame:
     """Adds ``blocks``: keys that share none meet in ``across_blocks`` only. A person's is the first name; an initial is in the blocks of all
     known first names it may stand for, and with the unknown ones that begin with it."""
-    known = F.array(*[F.lit(n) for n in sorted(NICKNAMES)])
+    known = F.array(*[F.lit(n) for n in sorted(lexicon.nicknames)]).cast("array<string>")
     initial = F.substring("second", 1, 1)
     fitting = F.filter(known, lambda n: F.substring(n, 1, 1) == initial)
     person = F.when(F.length("second") == 1, F.concat(fitting, F.array(initial))).when(
@@ -279,7 +313,7 @@ def with_blocks(keys: DataFrame) -> DataFrame:
     return keys.withColumn("blocks", F.transform(own, lambda x: F.concat_ws("|", "kind", x)))
 
 
-def similar_keys(keys: DataFrame, cosine: float = COSINE) -> DataFrame:
+def similar_keys(keys: DataFrame, cosine: float = COSINE, lexicon: Lexicon = _LEXICON) -> DataFrame:
     """(a, b, sim), a < b: keys (key, kind, core, second, grams) whose checked similarity isn't 0."""
     each = keys.select("key", F.explode("grams").alias("gram"))
     counts = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
@@ -290,12 +324,11 @@ def similar_keys(keys: DataFrame, cosine: float = COSINE) -> DataFrame:
     rest = own.orderBy(F.desc("w"), "gram").rowsBetween(0, Window.unboundedFollowing)
     weighted = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)))
     weighted = stored(weighted.withColumn("left", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))), "grams")
-    facts = with_blocks(keys).select("key", F.explode("blocks").alias("block"), F.length("core").alias("size"))
+    facts = with_blocks(keys, lexicon).select("key", F.explode("blocks").alias("block"), F.length("core").alias("size"))
     prefix = weighted.where(F.col("left") >= cosine - 1e-9).select("key", "gram").join(facts, "key")
     prefix = prefix.select(F.xxhash64("block", "gram").alias("at"), "key", "size")
     a, b = prefix.toDF("at", "a", "size_a"), prefix.toDF("at", "b", "size_b")
-    near = F.abs(F.col("size_a") - F.col("size_b")) <= LENGTHS
-    met = a.join(b, "at").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    met = a.join(b, "at").where((F.col("a") < F.col("b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= LENGTHS)).select("a", "b").distinct()
     vectors = weighted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
     side = keys.select("key", "kind", "core", "second").join(vectors, "key")
     pairs = met.join(side.toDF("a", "kind", "core_a", "second_a", "va"), "a").join(
@@ -304,22 +337,23 @@ def similar_keys(keys: DataFrame, cosine: float = COSINE) -> DataFrame:
     dot = F.aggregate(
         F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0))
     )
-    pairs = pairs.where(dot >= cosine).select("a", "b", "kind", "core_a", "core_b", "second_a", "second_b")
+    # a swap of neighbours counts as two letters here, and two edits are the most that is accepted
+    pairs = pairs.where((F.levenshtein("core_a", "core_b", 4) >= 0) & (dot >= cosine)).select("a", "b", "kind", "core_a", "core_b", "second_a", "second_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sim = [
-                core_similarity(r["core_a"], r["core_b"]) * second_similarity(r["kind"], r["second_a"], r["second_b"])
+                core_similarity(r["core_a"], r["core_b"]) * second_similarity(r["kind"], r["second_a"], r["second_b"], lexicon)
                 for r in batch.select(["kind", "core_a", "core_b", "second_a", "second_b"]).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
     inside = pairs.mapInArrow(check, "a long, b long, sim double").where("sim > 0")
-    return inside.unionByName(across_blocks(keys)).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return inside.unionByName(across_blocks(keys, lexicon)).groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
-def across_blocks(keys: DataFrame) -> DataFrame:
-    """(a, b, sim), a < b: keys of different kind or second part that share one of ``name_forms`` and are similar."""
+def across_blocks(keys: DataFrame, lexicon: Lexicon = _LEXICON) -> DataFrame:
+    """(a, b, sim), a < b: keys of any kind and second part that share one of ``name_forms`` and are similar."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +362,7 @@ def across_blocks(keys: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sim = [pair_similarity(tuple(r["ra"].values()), tuple(r["rb"].values())) for r in batch.to_pylist()]
+            sim = [pair_similarity(tuple(r["ra"].values()), tuple(r["rb"].values()), lexicon) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
     forms = keys.select("key", "kind", "core", "second").mapInArrow(spread, "key long, form string").select(F.xxhash64("form").alias("at"), "key")
@@ -339,30 +373,12 @@ def across_blocks(keys: DataFrame) -> DataFrame:
     met = a.join(b, "at").where("a < b").select("a", "b").distinct()
     side = keys.select("key", F.struct("kind", "core", "second").alias("r"))
     pairs = met.join(side.toDF("a", "ra"), "a").join(side.toDF("b", "rb"), "b")
-    pairs = pairs.where((F.col("ra.kind") != F.col("rb.kind")) | (F.col("ra.second") != F.col("rb.second")))
     return pairs.select("a", "b", "ra", "rb").mapInArrow(check, "a long, b long, sim double").where("sim > 0")
 
 
-def _absorb(keys: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, group): near-equal spellings joined to their most frequent neighbour, and so on up."""
-    both = edges.where(F.col("sim") >= NEAR).select("a", "b", "sim")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    rank = keys.select("key", F.struct(F.col("weight").alias("w"), (-F.col("key")).alias("k")).alias("rank"))
-    known = both.join(rank.toDF("a", "rank_a"), "a").join(rank.toDF("b", "rank_b"), "b")
-    up = known.where("rank_b > rank_a").groupBy("a").agg(F.max_by("b", F.struct("sim", "rank_b")).alias("group"))
-    groups = keys.select("key").join(up.withColumnRenamed("a", "key"), "key", "left")
-    groups = cut(groups.select("key", F.coalesce("group", "key").alias("group")))
-    while True:
-        parent = groups.toDF("group", "up")
-        jumped = cut(groups.join(parent, "group").select("key", F.col("up").alias("group"), (F.col("up") != F.col("group")).alias("moved")))
-        if jumped.where("moved").isEmpty():
-            return jumped.select("key", "group")
-        groups = jumped.select("key", "group")
-
-
 def average_linkage(keys: DataFrame, edges: DataFrame, average: float = AVERAGE) -> DataFrame:
     """(key, group): keys (key, weight, size) grouped by edges (a, b, sim). Keys without an edge count as similarity 0."""
-    groups = _absorb(keys, edges)
+    groups = keys.select("key", F.col("key").alias("group"))
     sizes = keys.select("key", F.col("size").cast("double").alias("size"))
     while True:
         g = groups.join(sizes, "key")
@@ -383,14 +399,14 @@ def average_linkage(keys: DataFrame, edges: DataFrame, average: float = AVERAGE)
         groups = cut(groups.join(small_side(merge), "group", "left").select("key", F.coalesce("into", "group").alias("group")))
 
 
-def link_names(spellings: list[DataFrame]) -> DataFrame:
+def link_names(spellings: list[DataFrame], lexicon: Lexicon = _LEXICON) -> DataFrame:
     """(name, n, kind, group): the group of each distinct spelling; spellings of one group mean the same.
 
     Null names are left out; a blank name is a spelling like any other. Empty tables give no rows. Repeated rows
     only add to n.
     """
     read = spelling_counts(spellings).mapInArrow(
-        _read_batches, "name string, n long, kind string, core string, second string, grams array<string>"
+        partial(_read_batches, known=lexicon), "name string, n long, kind string, core string, second string, grams array<string>"
     )
     key = F.xxhash64("kind", "core", "second")
     read = stored(read.withColumn("key", key), "names")
@@ -398,7 +414,7 @@ def link_names(spellings: list[DataFrame]) -> DataFrame:
         *[F.first(c).alias(c) for c in ("kind", "core", "second", "grams")], F.sum("n").alias("weight"), F.count(F.lit(1)).alias("size")
     )
     keys = stored(keys, "keys")
-    edges = stored(similar_keys(keys), "links")
+    edges = stored(similar_keys(keys, lexicon=lexicon), "links")
     groups = average_linkage(keys.select("key", "weight", "size"), edges)
     return read.select("name", "n", "kind", "key").join(groups, "key").select("name", "n", "kind", "group")
 
