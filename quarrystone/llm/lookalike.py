@@ -21,7 +21,11 @@ TWINS = {
     "аеорсухѕіјһԁԛԝӏёїү": "aeopcyxsijhdqwlëïy",
     "АВЕЗКМНОРСТУХЅІЈԚԜӀҮЁЇ": "ABEЗKMHOPCTYXSIJQWIYËÏ",
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳό": "ABEZHIKMNOPTYXovcjó",
-    "ɡɑµօ": "gaμo",
+    "ɡɑµℓ": "gaμl",
+    "αρυι": "apui",
+    "օհոսԼՏՕ": "ohnuLSO",
+    "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ": "ABCDEGHJKLMPRSTVWZ",
+    "ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ": "ABCDEFGHIJKLMNOPRSTUVWXYZ",
 }
 #: Ligatures and the letters they look like.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ"}
@@ -54,10 +58,10 @@ def character_map() -> dict[str, str]:
         whole = unicodedata.normalize("NFC", chr(c)) if one != chr(c) else chr(c)
         if len(whole) == 1 and whole != chr(c):
             out[chr(c)] = out.get(whole, whole)
-    for c in range(0x2160, 0x2180):  # Roman numerals of one letter
+    for c in [*range(0x2160, 0x2180), *range(0x1D400, 0x1D800), 0x210E, 0x2124, 0x2128]:  # Roman numerals of one letter, letters of mathematics
         letter = unicodedata.normalize("NFKC", chr(c))
-        if len(letter) == 1:
-            out[chr(c)] = letter
+        if len(letter) == 1 and letter != chr(c) and letter.isalnum():
+            out[chr(c)] = out.get(letter, letter)
     return out
 
 
@@ -87,7 +91,7 @@ def with_plain_form(df: DataFrame, value: str, out: str) -> DataFrame:
     clusters = F.regexp_extract_all(F.col("_mapped"), F.lit("(?s)\\P{M}?\\p{M}*"), F.lit(0))
     joined = F.array_join(F.transform(clusters, lambda g: F.coalesce(F.try_element_at(letters, g), g)), "")
     staged = df.withColumn("_mapped", F.when(ascii_only, x).otherwise(mapped))
-    whole = F.when(F.col("_mapped").rlike("[\\u0300-\\u036f]"), joined).otherwise(F.col("_mapped"))
+    whole = F.when(ascii_only, F.col("_mapped")).when(F.col("_mapped").rlike("[\\u0300-\\u036f]"), joined).otherwise(F.col("_mapped"))
     return staged.withColumn(out, whole).drop("_mapped")
 
 
@@ -96,10 +100,25 @@ def path_string(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda h: F.concat(F.lit(HEADING), F.coalesce(h, F.lit(NO_HEADING)))), "")
 
 
+def class_key(form: Column) -> Column:
+    """A hash that all forms of a class of the collation share: canonically equivalent spellings differ only in characters with
+    combining marks and in such beyond ASCII, which are left out, as are those a collation ignores."""
+    plain = F.regexp_replace(form, "(?s).?\\p{M}++|[^ -~]++", "")
+    return F.xxhash64(F.when(form.rlike("[^ -~]"), plain).otherwise(form))
+
+
 def canonical_forms(values: DataFrame, scope: list[str], form: str) -> DataFrame:
     """(scope, ``form``, ``canonical``) for each plain form that isn't the canonical member of its class: the shortest,
-    then smallest of the forms that are equal under the Unicode collation."""
-    distinct = values.select(*scope, form).where(F.col(form).isNotNull()).distinct()
+    then smallest of the forms that are equal under the Unicode collation.
+
+    Only hashes of all forms are shuffled; forms are grouped under the collation where two of one ``class_key`` differ.
+    """
+    keyed = values.select(*scope, form, class_key(F.col(form)).alias("_key")).where(F.col(form).isNotNull())
+    h = F.xxhash64(F.lit(1), F.col(form))
+    several = keyed.groupBy(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(scope)], F.col("_key").alias("_k")).agg(F.min(h).alias("_a"), F.max(h).alias("_b"))
+    several = small_side(stored(several.where("_a <> _b"), "keys"))
+    on = [F.col(s).eqNullSafe(F.col(f"_s{i}")) for i, s in enumerate(scope)] + [F.col("_key") == F.col("_k")]
+    distinct = keyed.join(several, on, "left_semi").select(*scope, form).distinct()
     classes = distinct.groupBy(*scope, F.collate(F.col(form), "UNICODE").alias("_class")).agg(
         F.min(F.struct(F.length(form).alias("n"), F.col(form).alias("v")))["v"].alias("canonical"),
         F.collect_list(form).alias("_forms"),

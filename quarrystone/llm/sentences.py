@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +55,15 @@ _THAI = re.compile(r"[ก-๛]")
 
 SPAN_COST = 2.0
 UNBALANCED = 10.0
+#: What a cut within a quotation or bracket costs that is closed later on: more than any cut earns, however many there are.
+WITHIN = 6.0
 #: The most that ``_closing`` or ``_thai_space`` gives.
 BEST_CLOSING = 4.0
 
 
-def _depths(unit: str) -> tuple[list[int], list[int]]:
-    """For each position, how many quotations and brackets are open before it, and where the quotation that closes just
-    before it was opened (-1: none)."""
+def _depths(unit: str) -> tuple[list[int], list[int], list[int]]:
+    """For each position, how many quotations and brackets are open before it, where the quotation that closes just
+    before it was opened (-1: none), and how many of those open are closed later on."""
     turned = "»" in unit and ("«" not in unit or unit.index("»") < unit.index("«"))
     pairs = dict(_OPEN)
     if turned:
@@ -69,18 +72,21 @@ def _depths(unit: str) -> tuple[list[int], list[int]]:
     stack: list[str] = []
     places: list[int] = []
     out, opened = [0], [-1]
+    change = [0] * (len(unit) + 2)
     for at, ch in enumerate(unit):
         came = -1
         if ch in stack and (ch == stack[-1] or ch in '"“' or ch not in pairs):
             first = stack.index(ch)
             came = places[first] if ch not in ")）]" else -1
+            change[places[first] + 1] += 1
+            change[at + 1] -= 1
             del stack[first:], places[first:]
         elif ch == '"' or ch in pairs:
             stack.append(pairs.get(ch, ch))
             places.append(at)
         out.append(len(stack))
         opened.append(came)
-    return out, opened
+    return out, opened, list(accumulate(change))
 
 
 def _stray(unit: str, start: int, end: int, depth: list[int]) -> int:
@@ -89,7 +95,7 @@ def _stray(unit: str, start: int, end: int, depth: list[int]) -> int:
     return (depth[start] - low) + (depth[end] - low)
 
 
-def _opening(unit: str, at: int, german: bool) -> float:
+def _opening(unit: str, at: int, german: bool, caseless: bool) -> float:
     """How well a sentence can begin at a position."""
     ch = unit[at]
     if ch in "¿¡“„«「『《\"‘'([":
@@ -97,6 +103,8 @@ def _opening(unit: str, at: int, german: bool) -> float:
     if ch.isdigit():
         return 0.5
     if ch.islower():
+        if caseless:
+            return 0.5  # a text without capitals
         brand = at + 1 < len(unit) and unit[at + 1].isupper()
         return 1.0 if brand else -6.0
     if ch.isupper():
@@ -222,7 +230,8 @@ def divide(unit: str) -> list[tuple[int, int]]:
     if lead >= n:
         return []
     german = len(GERMAN.findall(unit)) > len(NOT_GERMAN.findall(unit))
-    depth, openers = _depths(unit)
+    depth, openers, within = _depths(unit)
+    caseless = not any(map(str.isupper, unit))
     cuts = [c for c in _candidates(unit, depth) if c[0] > lead]
     if not cuts:
         return [(lead, n)]
@@ -230,7 +239,7 @@ def divide(unit: str) -> list[tuple[int, int]]:
     ends = [*cuts, (n, n, None)]
     best = [0.0] + [-1e18] * len(ends)
     back = [0] * (len(ends) + 1)
-    opened = [0.0, *[_opening(unit, c[1], german) for c in cuts]]
+    opened = [0.0, *[_opening(unit, c[1], german, caseless) for c in cuts]]
     # the best that any sentence beginning at one of the first starts can build on
     reach = [opened[0]] + [-1e18] * (len(ends) - 1)
     for j, (end, following, mark) in enumerate(ends, 1):
@@ -249,6 +258,8 @@ def divide(unit: str) -> list[tuple[int, int]]:
                 score += _thai_space(unit, end, following) if mark < 0 else _closing(unit, s, mark, end, following, german, openers[end])
             if end - s < 3:
                 score -= 3.0
+            if within[end]:
+                score -= WITHIN
             if score > best[j]:
                 best[j], back[j] = score, i
         if j < len(ends):

@@ -58,7 +58,7 @@ def test_the_division_is_the_best_one():
     from itertools import combinations
 
     unit = "“Go. Stop,” he said. Mr. X. ran etc. Then 3. came! No"
-    depth, openers = S._depths(unit)
+    depth, openers, within = S._depths(unit)
     cuts = S._candidates(unit, depth)
     starts = [0, *[c[1] for c in cuts]]
     ends = [*cuts, (len(unit), len(unit), None)]
@@ -67,7 +67,7 @@ def test_the_division_is_the_best_one():
         total, i = 0.0, 0
         for j in [*chosen, len(cuts)]:
             s, (end, following, mark) = starts[i], ends[j]
-            total += (S._opening(unit, starts[i], False) if i else 0.0) - S.SPAN_COST - S.UNBALANCED * S._stray(unit, s, end, depth) - 3.0 * (end - s < 3)
+            total += (S._opening(unit, starts[i], False, False) if i else 0.0) - S.SPAN_COST - S.UNBALANCED * S._stray(unit, s, end, depth) - 3.0 * (end - s < 3) - S.WITHIN * (within[end] > 0)
             if mark is not None:
                 total += S._closing(unit, s, mark, end, following, False, openers[end])
             i = j + 1
@@ -198,3 +198,12 @@ def test_held_out_accuracy(spark, small):
     rows = R.reading_levels(held.withColumnRenamed("reading_level", "rated"), fit, ["sample_id", "rated"]).collect()
     right = sum(r.rated == r.reading_level for r in rows) / len(rows)
     assert right >= 0.78 and all(abs(r.rated - r.reading_level) <= 2 for r in rows)
+
+
+def test_quotations_of_any_length_and_texts_without_capitals():
+    from quarrystone.llm.sentences import sentence_spans
+
+    for n in (2, 11, 50):
+        assert len(sentence_spans('He said "' + " ".join(["A cat sat."] * n) + '" and left. Then he came.')) == 2
+    assert len(sentence_spans('He said "A cat sat. A dog ran. It went on.')) == 3  # never closed
+    assert len(sentence_spans("the car is fast. the dog runs! it is big. we see it.")) == 4
