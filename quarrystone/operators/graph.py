@@ -28,6 +28,9 @@ CORE_ROWS = 20_000
 SPARSE_ROWS = 24
 #: Texts that share a term found on more texts than this are counted in pairs of blocks.
 HEAVY_TEXTS = 200
+#: Ranges over which words are put in order, and words sampled to find these.
+RANGES = 64
+RANGE_SAMPLE = 4096
 #: Rows of a block where a task gives out all pairs of two blocks.
 PAIR_ROWS = 1024
 
@@ -175,7 +178,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
     """(id, pagerank) of a directed graph with isolated nodes; repeated edges count once, dangling weight is spread evenly.
 
     Stops when the change, summed over all nodes, is below ``tolerance`` times their number, or after ``rounds`` rounds
-    exactly. Ranks are cut from their lineage every five rounds.
+    exactly. Ranks are written in each round, so that a plan holds one round; what is lost at dangling nodes and the
+    change are sums over the ranks written, taken together.
     """
     nodes = stored(nodes.select("id").distinct(), "nodes")
     n = nodes.count()
@@ -184,24 +188,20 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
     links = edges.select(F.col("src").alias("id"), "dst").distinct().where("id is not null and dst is not null")
     links = links.join(nodes, "id", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi")
     degree = links.groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("degree"))
-    # kept partitioned by their source: the ranks come to them
-    links = stored(links.join(degree, "id").select("id", "dst", "degree"), "links")
-    ranks = nodes.withColumn("pagerank", F.lit(1.0 / n))
-    dangling_nodes = stored(nodes.join(degree, "id", "left_anti"), "dangling")
-    for i in range(rounds or most):
-        sent = links.join(ranks, "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") / F.col("degree")).alias("got"))
-        lost = ranks.join(dangling_nodes, "id", "left_semi").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("lost"))
-        base = (1 - alpha) / n
-        spread = lost.select(F.col("lost") * F.lit(alpha / n) + F.lit(base)).scalar()
-        fresh = nodes.join(sent, "id", "left").select("id", (F.coalesce("got", F.lit(0.0)) * alpha + spread).alias("pagerank"))
-        if rounds is None or i % 5 == 4:
-            fresh = cut(fresh)
-        if rounds is None:
-            change = fresh.join(ranks.withColumnRenamed("pagerank", "old"), "id").agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
-            if change < tolerance * n:
-                return fresh
-        ranks = fresh
-    return ranks
+    links = stored(links.join(degree, "id").select("id", "dst", (1 / F.col("degree")).alias("share")), "links")
+    # a node sends to others or is dangling
+    start = nodes.join(degree, "id", "left").select("id", F.col("degree").isNull().alias("dangles"))
+    ranks = cut(start.withColumns({"pagerank": F.lit(1.0 / n), "change": F.lit(0.0)}))
+    lost = ranks.where("dangles").count() / n
+    for _ in range(rounds or most):
+        sent = links.join(ranks.select("id", "pagerank"), "id").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
+        now = F.coalesce("got", F.lit(0.0)) * alpha + F.lit((alpha * lost + 1 - alpha) / n)
+        fresh = ranks.join(sent, "id", "left").select("id", "dangles", now.alias("pagerank"), F.abs(now - F.col("pagerank")).alias("change"))
+        ranks = cut(fresh)
+        lost, change = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangles"), F.col("pagerank"))), F.lit(0.0)), F.sum("change")).first()
+        if rounds is None and change < tolerance * n:
+            break
+    return ranks.select("id", "pagerank")
 
 
 def core_chunks(ranks: DataFrame, beta: float = 0.2) -> DataFrame:
@@ -254,10 +254,12 @@ def keyword_vocabulary(texts: DataFrame, least: int = 2) -> DataFrame:
     """(keyword_id, keyword, df): keyword tokens of at least ``least`` texts, numbered by code points."""
     each = texts.select("id", F.explode(F.array_distinct(keyword_tokens(F.col("text")))).alias("keyword"))
     kept = each.groupBy("keyword").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
-    first = F.coalesce(F.ascii(F.substring("keyword", 1, 1)), F.lit(0))
-    second = F.coalesce(F.ascii(F.substring("keyword", 2, 1)), F.lit(0))
-    ranged = kept.withColumn("_first", first.cast("long") * F.lit(2**21) + second)
-    return number_globally(ranged, ["_first", "keyword"], "keyword_id", 64).select("keyword_id", "keyword", "df")
+    # places are counted over ranges with about as many words each, whatever letters they begin with
+    kept = stored(kept, "keywords")
+    some = kept.sample(min(1.0, RANGE_SAMPLE / max(1, kept.count())), 7).select("keyword").orderBy("keyword").limit(2 * RANGE_SAMPLE).collect()  # bounded sample
+    bounds = [r[0] for r in some[:: max(1, len(some) // RANGES)]][1:]
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<string>"), lambda b: b <= F.col("keyword"))) if bounds else F.lit(0)
+    return number_globally(kept.withColumn("_first", part), ["_first", "keyword"], "keyword_id", 1).select("keyword_id", "keyword", "df")
 
 
 def keyword_edges(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:

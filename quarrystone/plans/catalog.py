@@ -163,36 +163,28 @@ def lexical_cooccurrence_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    """Only terms on at most 60 texts, as in its SQL; ``lexical_cooccurrence_all`` counts every term."""
-    texts = _entities(spark, d).select(F.col("entity_id").alias("id"), F.array_join("descriptions", " ").alias("text"))
-    return graph.cooccurrence(texts, 60)
-
-
-def lexical_cooccurrence_all(spark: SparkSession, d: str) -> DataFrame:
     texts = _entities(spark, d).select(F.col("entity_id").alias("id"), F.array_join("descriptions", " ").alias("text"))
     return graph.cooccurrence(texts)
 
 
 def hybrid_knn(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that have an embedding, which join one to one on their ids."""
+    """All documents, embedded by hashed words."""
+    texts = _documents(spark, d).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return _long(graph.hybrid_knn(texts, stored(HashingEmbedder(DIMS).embed(texts), "vectors"), 6))
+
+
+def _ranks(spark: SparkSession, d: str) -> DataFrame:
     e = _embeddings(spark, d)
-    texts = _documents(spark, d).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(e.select("id"), "id", "left_semi")
-    own = e.join(texts.select("id"), "id", "left_semi")
-    return _long(graph.hybrid_knn(texts, own, 6))
+    return graph.pagerank(e.select("id"), stored(graph.semantic_neighbours(e, 3).select("src", "dst"), "edges"))
 
 
 def pagerank_core(spark: SparkSession, d: str) -> DataFrame:
-    e = _embeddings(spark, d)
-    edges = stored(graph.semantic_neighbours(e, 3).select("src", "dst"), "edges")
-    ranks = graph.pagerank(e.select("id"), edges, rounds=4)
-    core = graph.core_chunks(ranks, 0.2)
+    core = graph.core_chunks(_ranks(spark, d), 0.2)
     return core.select("id", F.round("pagerank", 10).alias("pagerank"), F.col("core_no").cast("long").alias("core_no"))
 
 
 def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
-    e = _embeddings(spark, d)
-    edges = stored(graph.semantic_neighbours(e, 3).select("src", "dst"), "edges")
-    return graph.pagerank(e.select("id"), edges)
+    return _ranks(spark, d).select("id", F.round("pagerank", 10).alias("pagerank"))
 
 
 def keyword_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -290,7 +282,21 @@ def two_channel_context(spark: SparkSession, d: str) -> DataFrame:
 def two_channel_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     s = _store(spark, d)
     found, skeleton = retrieval.two_channel(s, HashingEmbedder(DIMS).embed_query(QUESTION), 10, 0.4)
-    return retrieval.diagnostics(stored(found, "found"), skeleton, s["subchunks"])
+    told = retrieval.diagnostics(stored(found, "found"), skeleton, s["subchunks"])
+    listed = lambda c, f, sep=",": F.array_join(F.transform(c, f), sep)
+    return told.select(
+        listed("skeleton_ids", lambda i: i.cast("string")).alias("skeleton_ids"), listed("keyword_ids", lambda i: i.cast("string")).alias("keyword_ids"),
+        listed("sources", lambda x: F.concat(x["id"].cast("string"), F.lit(":"), F.coalesce(x["source_name"], x["source_url"]))).alias("sources"),
+        listed("seeds", lambda x: x["id"].cast("string")).alias("seeds"), listed("facts", lambda x: F.concat(F.lit("- "), x["fact"]), "\n").alias("facts"),
+    )
+
+
+def three_way_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """What each of the three strategies chooses for the question."""
+    e = HashingEmbedder(DIMS)
+    vectors = stored(e.embed(_chunks(spark, d).where("text is not null")), "vectors")
+    edges = stored(graph.semantic_neighbours(vectors, 4).select("src", "dst"), "edges")
+    return _long(retrieval.compare(_store(spark, d) | {"chunk_vectors": vectors, "edges": edges}, e.embed_query(QUESTION), 10))
 
 
 def context_render(spark: SparkSession, d: str) -> DataFrame:
@@ -345,9 +351,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = [
         clean_documents, tokenize_stats, keyword_token_counts, lexical_term_counts, sentence_stats, render_blocks, relation_texts, entity_texts,
         subchunk_labels, block_errors, rebuilt_tables, text_runs, word_chunks, structured_chunks, table_chunks, tau_subchunks, tau_text_subchunks,
-        numbered_chunks, normalised_vectors, mean_vectors, semantic_knn, lexical_cooccurrence, lexical_cooccurrence_all, lexical_cooccurrence_topk,
+        numbered_chunks, normalised_vectors, mean_vectors, semantic_knn, lexical_cooccurrence, lexical_cooccurrence_topk,
         hybrid_knn, pagerank_core, pagerank_converged, keyword_vocabulary, keyword_edges, keyword_vectors, skeleton_entities, skeleton_relations, hashed_vectors, text_retrieve,
-        knn_retrieve, seed_adjacency, relation_rank, two_channel_retrieve, two_channel_context, two_channel_diagnostics, context_render, corpus_key,
+        knn_retrieve, seed_adjacency, relation_rank, two_channel_retrieve, two_channel_context, two_channel_diagnostics, three_way_comparison, context_render, corpus_key,
         html_blocks, html_text, pdf_paragraphs, pdf_tables,
     ]
     return {f.__name__: f for f in every}

@@ -35,14 +35,14 @@ def test_text_block_drops_blank_headings(spark):
     "row, error",
     [
         (block(0, 3, text="ok"), None),
-        (block(0, 3, type=" ", text="x"), "Block 3: requires a non-empty string type"),
-        (block(0, 3, text=None), "non-table block requires string text"),
-        (block(0, 3, text="x", page=0), "page must be"),
+        (block(0, 3, type=" ", text="x"), "block 3: type is blank"),
+        (block(0, 3, text=None), "text is missing"),
+        (block(0, 3, text="x", page=0), "page is below 1"),
         (block(0, 3, text="x", bbox=[0.0, 1.0, 2.0]), "four finite numbers"),
-        (block(0, 3, text="x", bbox=[3.0, 1.0, 2.0, 4.0]), "reversed"),
-        (table(0, 3, ["a", "b"], [["1", "2"], ["1"]]), "table row 2 must have 2 cells"),
-        (table(0, 3, ["a", ""], [["1", "2"]]), "non-empty strings"),
-        (table(0, 3, ["a"], [["1"]], table_id=" "), "non-empty table_id"),
+        (block(0, 3, text="x", bbox=[3.0, 1.0, 2.0, 4.0]), "ends before it begins"),
+        (table(0, 3, ["a", "b"], [["1", "2"], ["1"]]), "row 2 does not have 2 cells"),
+        (table(0, 3, ["a", ""], [["1", "2"]]), "missing or blank"),
+        (table(0, 3, ["a"], [["1"]], table_id=" "), "table_id is blank"),
     ],
 )
 def test_validation(spark, row, error):
@@ -50,7 +50,7 @@ def test_validation(spark, row, error):
     got = B.with_errors(df).first().error
     assert got is None if error is None else error in got
     if error:
-        with pytest.raises(Exception, match="Block 3"):
+        with pytest.raises(Exception, match="block 3"):
             B.validated(df).collect()
 
 
