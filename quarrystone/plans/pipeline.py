@@ -43,9 +43,9 @@ class Comparison:
             raise ValueError("give either blocks or sources")
         if sources is not None:
             saved = corpus.extract_corpus(spark, sources, self.store.path("corpora"), settings=self.settings, **extract)
-            blocks = spark.read.parquet(saved.blocks_path).withColumn("doc_id", F.lit(0).cast("long"))
+            blocks = spark.read.parquet(saved.blocks_path).withColumn("doc_id", F.shiftright("pos", corpus.ITEM_BITS))
             content = saved.content_key
-        key = source_key(content or corpus.content_key(blocks.withColumn("pos", F.col("doc_id") * 1_000_000 + F.col("pos"))), self.settings)
+        key = source_key(content or corpus.content_key(blocks.withColumn("pos", F.shiftleft(F.col("doc_id"), corpus.ITEM_BITS) + F.col("pos"))), self.settings)
         self.tables = self.store.ensure_skeleton(blocks, key, k, beta, tau)
         self.loaded = (key, k, beta, tau)
         return time.monotonic() - started

@@ -29,7 +29,7 @@ def source_key(content: str, s: Settings, version: str = INDEX_VERSION) -> str:
 
 def skeleton_name(k: int, beta: float, tau: int, model: str, version: str = INDEX_VERSION) -> str:
     tag = hashlib.sha256(f"{model}|{version}".encode()).hexdigest()[:8]
-    return f"ket_k{k}_b{round(beta, 4):g}_t{tau}_x{tag}"
+    return f"skeleton_k{k}_b{round(beta, 4):g}_t{tau}_x{tag}"
 
 
 def knn_name(k: int) -> str:

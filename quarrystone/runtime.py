@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Stored size of tables that are spread over the session's slots if they lie in fewer files.
-SPREAD_BYTES = (1 << 20, 64 << 20)
+#: Stored size from which a table is spread over the session's slots where it is read in fewer partitions.
+SPREAD_BYTES = 1 << 20
 #: Paths written by ``stored`` and not released yet.
 _WRITTEN: list[str] = []
 #: Largest serialised size a side may have before it is joined by shuffle instead of by broadcast.
@@ -37,12 +38,12 @@ def ship(spark: SparkSession) -> None:
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory. Only columns selected later are read.
 
-    A small table in fewer files than the session has slots is spread over all of them, as the work on its texts
-    outweighs moving them; larger tables are read as they lie.
+    A table that is read in fewer partitions than the session has slots is spread over all of them, as the work on its texts
+    outweighs moving them.
     """
     ship(spark)
     df = spark.read.parquet(f"{directory}/{name}.parquet")
-    if SPREAD_BYTES[0] <= plan_bytes(df) <= SPREAD_BYTES[1] and df.rdd.getNumPartitions() < slots(spark):
+    if plan_bytes(df) >= SPREAD_BYTES and df.rdd.getNumPartitions() < slots(spark):
         return df.repartition(slots(spark))
     return df
 
@@ -82,13 +83,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes what ``stored`` has written in this process. Call it when the results of all queries are saved."""
+    """Deletes what ``stored`` has written in this process. Call it when the results of all queries are saved; else it is
+    done when the process ends."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+def _release_at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _WRITTEN:
+        with suppress(Exception):  # the session may be gone
+            release(spark)
+
+
+atexit.register(_release_at_end)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -105,11 +117,6 @@ def slots(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def parts(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key: the one with the largest ``order`` (nulls smallest). Rows with equal order are
     interchangeable copies."""
@@ -142,7 +149,3 @@ def prefix_offsets(
 
 def local_path_exists(path: str) -> bool:
     return os.path.exists(path.removeprefix("file://"))
-
-
-def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -15,6 +15,10 @@ from quarrystone.operators.blocks import text_block, validated
 from quarrystone.schemas import BLOCK, CORPUS_VERSION, PDF_CORPUS_VERSION
 from quarrystone.sources import html, urls
 
+#: Bits of a position for a block's number in its page or file, and for a page's number in its file.
+ITEM_BITS = 32
+PAGE_BITS = 20
+
 
 @dataclass(frozen=True)
 class SavedCorpus:
@@ -116,7 +120,7 @@ def web_corpus(pages: DataFrame, root: str) -> SavedCorpus:
     bare = numbered.join(blocks.select("page_id").distinct(), "page_id", "left_anti")
     made = bare.select("page_id", F.lit(0).cast("long").alias("pos"), text_block(F.coalesce("url", F.lit("")), F.coalesce("url", F.lit("")), F.col("url")).alias("b"))
     every = blocks.unionByName(made.select("page_id", "pos", "b.*"))
-    ordered = every.withColumn("pos", F.col("page_id") * F.lit(1_000_000) + F.col("pos")).drop("page_id")
+    ordered = every.withColumn("pos", F.shiftleft(F.col("page_id"), ITEM_BITS) + F.col("pos")).drop("page_id")
     titles = blocks.where("pos = 0").select("page_id", F.col("source_name").alias("title"))
     described = (
         pages.withColumn("page_id", F.col("pos").cast("long")).join(titles, "page_id", "left")
@@ -137,15 +141,18 @@ def pdf_corpus(spark: SparkSession, paths: list[str], root: str, extract, most:
     """
     from quarrystone.sources import pdf
 
-    files = pdf.pdf_files(spark, paths, most, most_bytes).collect()  # at most ``most`` files
-    key = pdf.pdf_request_key([bytes(f.content) for f in files])
+    # contents are hashed where they are read
+    found = pdf.pdf_files(spark, paths, most, most_bytes).select("path", "length", F.sha2("content", 256).alias("digest"))
+    names = [p.strip().rsplit("/", 1)[-1] for p in paths if p and p.strip()]
+    files = sorted(found.collect(), key=lambda f: names.index(f.path.rsplit("/", 1)[-1]))  # at most ``most`` files
+    key = pdf.pdf_request_key([(f.length, f.digest) for f in files])
     known = load_pointer(spark, root, key)
     if known:
         return known
     every = None
     for n, f in enumerate(files):
         name = f.path.rsplit("/", 1)[-1]
-        found = pdf.require_blocks(extract(f.path), name).withColumn("pos", F.lit(n * 10**12) + F.col("page") * 10**6 + F.col("pos"))
+        found = pdf.require_blocks(extract(f.path), name).withColumn("pos", F.shiftleft(F.lit(n << PAGE_BITS).cast("long") + F.col("page"), ITEM_BITS) + F.col("pos"))
         every = found if every is None else every.unionByName(found)
     rows = [(n + 1, "pdf", None, None, None, None, f.path.rsplit("/", 1)[-1], f.length, None, f"{n + 1:02d}_{f.path.rsplit('/', 1)[-1]}") for n, f in enumerate(files)]
     from quarrystone.schemas import SOURCES

@@ -9,25 +9,35 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarrystone.operators.chunking import OVERLAP, SIZE, word_chunks
 from quarrystone.providers import Embedder
+from quarrystone.runtime import stored
+
+#: Bits of a chunk's id for its number in its document: 16 million chunks, over six billion words.
+CHUNK_BITS = 24
 
 
 def index_batch(documents: DataFrame, root: str, embedder: Embedder, size: int = SIZE, overlap: int = OVERLAP) -> None:
-    """Adds the chunks and vectors of documents (doc_id, text) that aren't indexed yet. Running it again adds nothing.
+    """Adds the chunks and vectors of documents (doc_id, text) that aren't indexed yet. Running it again adds nothing, and
+    after a failure only what is missing: chunks are written first, then the vectors of chunks that have none.
 
     A chunk's id is its document's and its number in it, so batches need no common counter.
     """
-    spark = documents.sparkSession
-    once = documents.dropDuplicates(["doc_id"])
-    try:
-        known = spark.read.parquet(f"{root}/chunks").select("doc_id").distinct()
-        once = once.join(known, "doc_id", "left_anti")
-    except Exception:  # the first batch
-        pass
-    chunks = word_chunks(once, ["doc_id"], "text", size, overlap)
-    chunks = chunks.withColumn("id", F.col("doc_id") * F.lit(1_000_000) + F.col("chunk_no")).cache()
-    embedder.embed(chunks).write.mode("append").parquet(f"{root}/chunk_vectors")
+    once = stored(documents.dropDuplicates(["doc_id"]), "batch")
+    new = once.join(_written(once, f"{root}/chunks", "doc_id"), "doc_id", "left_anti")
+    chunks = word_chunks(new, ["doc_id"], "text", size, overlap)
+    chunks = chunks.withColumn("id", F.shiftleft(F.col("doc_id").cast("long"), CHUNK_BITS) + F.col("chunk_no"))
     chunks.select("id", "doc_id", "chunk_no", "text", "source_text").write.mode("append").parquet(f"{root}/chunks")
-    chunks.unpersist()
+    mine = once.sparkSession.read.parquet(f"{root}/chunks").join(once.select("doc_id"), "doc_id", "left_semi")
+    bare = mine.join(_written(once, f"{root}/chunk_vectors", "id"), "id", "left_anti")
+    embedder.embed(stored(bare.select("id", "text"), "bare")).write.mode("append").parquet(f"{root}/chunk_vectors")
+
+
+def _written(like: DataFrame, path: str, key: str) -> DataFrame:
+    """The keys of a stored table; none where it doesn't exist yet."""
+    spark = like.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"{key} long")
+    return spark.read.parquet(path).select(key).distinct()
 
 
 def index_stream(spark: SparkSession, folder: str, schema: T.StructType, root: str, embedder: Embedder, checkpoint: str) -> StreamingQuery:

@@ -111,7 +111,7 @@ def test_pdf_files(spark, tmp_path):
     for bad in ([str(tmp_path / "b.pdf")], ["x.txt"], []):
         with pytest.raises(Exception):
             pdf.pdf_files(spark, bad).collect()
-    assert pdf.pdf_request_key([b"a", b"b"]) != pdf.pdf_request_key([b"b", b"a"]) == pdf.pdf_request_key([b"b", b"a"])
+    assert pdf.pdf_request_key([(1, "a"), (1, "b")]) != pdf.pdf_request_key([(1, "b"), (1, "a")]) == pdf.pdf_request_key([(1, "b"), (1, "a")])
 
 
 def test_extraction_answers(spark):
@@ -150,7 +150,7 @@ def test_corpus_is_saved_and_found_again(spark, tmp_path):
 def test_index_keys():
     s = Settings(embedding_dimensions=8)
     assert source_key("a", s) != source_key("b", s) and len(source_key("a", s)) == 16
-    assert skeleton_name(6, 0.2, 1, "m").startswith("ket_k6_b0.2_t1_x")
+    assert skeleton_name(6, 0.2, 1, "m").startswith("skeleton_k6_b0.2_t1_x")
 
 
 def test_build_resume_and_compare(spark, tmp_path):
@@ -187,10 +187,41 @@ def test_text_and_block_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfab\xff c")
     assert files.read_text(spark, str(tmp_path / "a.txt")).first().text == "ab� c"
     (tmp_path / "b.json").write_text('[{"type": "paragraph", "text": "x", "source_name": "s", "heading_path": []}, {"type": "table", "table_id": "t", "source_name": "s", "headers": ["a", "b"], "rows": [["1"]]}]')
-    with pytest.raises(Exception, match="must have 2 cells"):
+    with pytest.raises(Exception, match="does not have 2 cells"):
         files.read_blocks(spark, str(tmp_path / "b.json")).collect()
     vectors = spark.createDataFrame([(1, [1.0, 2.0])], "id int, vec array<double>")
     files.write_vectors(vectors, str(tmp_path / "v"))
     assert files.read_vectors(spark, str(tmp_path / "v")).first().vec == [1.0, 2.0]
     files.write_json(vectors, str(tmp_path / "j"))
     assert files.read_json(spark, str(tmp_path / "j"), vectors.schema).first().id == 1
+
+
+def test_table_spans_and_header_levels():
+    from quarrystone.sources.html import parse, read_table
+
+    table = """<table><thead><tr><th rowspan=2>Parameter</th><th colspan=2>Limits</th></tr><tr><th>Minimum</th><th>Maximum</th></tr></thead>
+    <tr><td rowspan="2">Force</td><td>1</td><td>2</td></tr><tr></tr><tr><td colspan=2>same</td></tr></table>"""
+    headers, rows = read_table(parse(table).first("table"))
+    assert headers == ["Parameter", "Limits > Minimum", "Limits > Maximum"]
+    assert rows == [["Force", "1", "2"], ["Force", "same", "same"]]
+    plain = "<table><tr><td>a</td><td rowspan=3>b</td></tr><tr><td>c</td></tr></table>"
+    assert read_table(parse(plain).first("table")) == (["Column 1", "Column 2"], [["a", "b"], ["c", "b"], ["", "b"]])
+    assert read_table(parse("<table></table>").first("table")) == ([], [])
+
+
+def test_a_batch_that_failed_is_run_again(spark, tmp_path):
+    from quarrystone.providers import HashingEmbedder
+    from quarrystone.streaming.incremental import index_batch
+
+    class Failing(HashingEmbedder):
+        def embed(self, *a, **k):
+            raise RuntimeError("quota")
+
+    docs = spark.createDataFrame([(1, "one two"), (2, "three four"), (2, "three four")], "doc_id long, text string")
+    root = str(tmp_path / "index")
+    with pytest.raises(RuntimeError):
+        index_batch(docs, root, Failing(8))
+    for _ in range(2):
+        index_batch(docs, root, HashingEmbedder(8))
+    assert spark.read.parquet(f"{root}/chunks").count() == 2
+    assert sorted(r.id for r in spark.read.parquet(f"{root}/chunk_vectors").collect()) == [1 << 24, 2 << 24]
