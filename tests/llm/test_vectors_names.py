@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -145,3 +147,54 @@ def test_short_forms_outside_the_lexicon_and_short_surnames(spark):
 @pytest.mark.parametrize("a, b, d", [("abc", "abc", 0), ("abc", "acb", 1), ("abc", "ab", 1), ("abcd", "wxyz", 3), ("", "a", 1)])
 def test_distance(a, b, d):
     assert M.distance(a, b, 2) == d
+
+
+def shuffle_bytes(spark):
+    """Bytes of the session's shuffle files."""
+    every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [every.apply(i) for i in range(every.size())]
+    return sum(f.length() for f in files if f.getName().startswith("shuffle_"))
+
+
+def test_shuffles_of_the_comparison_do_not_pile_up(spark):
+    rng = np.random.default_rng(3)
+    syllables = ["ka", "lo", "mi", "ru", "te", "zo", "ba", "ne"]
+    names = [(f"{first} {''.join(rng.choice(syllables, 5)).title()}",) for first in ("Thomas", "Tom", "T.", "Zarko") for _ in range(300)]
+    spark._jvm.System.gc()
+    time.sleep(1)
+    before = shuffle_bytes(spark)
+    linked = M.link_names([spark.createDataFrame(names, "x string")])
+    for _ in range(50):
+        # all of them are deleted with the step that made them, in the background
+        if shuffle_bytes(spark) <= before:
+            break
+        time.sleep(0.2)
+    assert shuffle_bytes(spark) <= before
+    assert linked.count() == len(set(names))
+
+
+def test_rounds_of_forms_find_every_pair(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    letters = list("abcdefgh")
+
+    def edited(s, n):
+        for _ in range(n):
+            i, kind = int(rng.integers(len(s) - 1)), int(rng.integers(4))
+            s = (s[:i] + "x" + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + "y" + s[i:], s[:i] + s[i + 1] + s[i] + s[i + 2 :])[kind]
+        return s
+
+    cores = {"".join(rng.choice(letters, n)) for n in [*range(5, 32), 40, 60, 90]}
+    cores |= {edited(c, n) for c in sorted(cores) for n in (1, 1, 2, 2)} | {"phillippowitschkky", "filipovitschci", "", "a"}
+    readings = [("product", c, "1") for c in sorted(cores)]
+    want = {(i, j) for i, x in enumerate(readings) for j, y in enumerate(readings[:i]) if M.core_similarity(x[1], y[1]) > 0 and abs(len(x[1]) - len(y[1])) <= M.LENGTHS}
+    rows, h = M.block_forms(readings, [M.by_ear(r[1]) for r in readings], [["product|1"]] * len(readings))
+    forms = [set(h[rows == i].tolist()) for i in range(len(readings))]
+    assert len(want) > 60 and all(forms[i] & forms[j] for i, j in want)
+    keys = spark.createDataFrame([(i, *r) for i, r in enumerate(readings)], "key long, kind string, core string, second string")
+    found = lambda tables: {(r.a, r.b) for t in tables for r in t.collect()}
+    whole = M.met_keys(keys)
+    monkeypatch.setattr(M, "FEW", 1)
+    monkeypatch.setattr(M, "AT_ONCE", 30)
+    parts = M.met_keys(keys)
+    assert len(whole) == 1 and len(parts) >= 3
+    assert found(parts) == found(whole) >= {(j, i) for i, j in want}
